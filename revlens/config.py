@@ -74,6 +74,8 @@ class ReviewConfig:
     prior_scope: str = "repo"            # Q1: 'repo' (code) or 'pr' (spec)
     inline_cap: int | None = None        # Q12: no cap
     penalty_factor: float = PENALTY_FACTOR
+    # the regex index (H28) is always approximate; 'by_language' uses LANGUAGES
+    approximate_index: str = "always"
     stale_after_hours: float | None = None  # Q7: None = every running row
     window_days: int = 7
     accepted_actions: tuple = ("opened", "synchronize")  # Q4

@@ -85,7 +85,9 @@ def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("task_count"),
         F.lit(0).alias("finding_count"),
         F.when(status == "failed", F.lit("provider error")).alias("error"),
-        F.concat(F.lit('{"config":"c'), s(F.col("o_custkey") % 3), F.lit('"}')).alias("metadata"),
+        F.concat(F.lit('{"config":"c'), s(F.col("o_custkey") % 3), F.lit('","routing":"'),
+                 F.when(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"), "r2")
+                 .otherwise("r1"), F.lit('"}')).alias("metadata"),
         F.col("o_orderdate").alias("started_at"),
         F.when(status != "running", F.col("o_orderdate") + F.expr("INTERVAL 1 DAYS"))
          .alias("completed_at"),
