@@ -31,30 +31,39 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return df.groupBy(*keys).agg(agg).select(*keys, *[F.col(f"_top.{v}").alias(v) for v in values])
 
 
-def keyed_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-              values: Sequence[str], bucket: Column, prefix: str = "prev_") -> DataFrame:
-    """Previous row's ``values`` within ``keys`` ordered by ``order`` (ascending).
+def keyed_last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                      values: Sequence[str], bucket: Column, include: Column | None = None,
+                      prefix: str = "prev_") -> DataFrame:
+    """For every row, ``values`` of the last earlier row of the same key (by
+    ``order``, ascending) that satisfies ``include`` (all rows when None).
 
     ``bucket`` must be non-decreasing along ``order`` within a key (e.g. the day
-    of the leading timestamp).  Adds ``{prefix}{v}`` columns and
-    ``{prefix}exists``.
+    of the leading timestamp).  The ordered pass runs per (key, bucket), so a
+    hot key is spread over many tasks; a small per-(key, bucket) table of the
+    last included row carries the answer across bucket boundaries.  Adds
+    ``{prefix}{v}`` columns and ``{prefix}exists``.
     """
     keys, order, values = list(keys), list(order), list(values)
-    d = df.withColumn("_bk", bucket)
-    w = Window.partitionBy(*keys, "_bk").orderBy(*order)
-    d = d.withColumn("_rn", F.row_number().over(w))
-    for v in values:
-        d = d.withColumn(f"_lag_{v}", F.lag(v).over(w))
-    # last row of every (key, bucket); the frame above already groups by it
-    last = d.groupBy(*keys, "_bk").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last"))
-    carry = last.select(*keys, "_bk", F.lag("_last").over(
-        Window.partitionBy(*keys).orderBy("_bk")).alias("_carry"))
-    d = d.join(carry, [*keys, "_bk"], "left")
-    first = F.col("_rn") == 1
+    val = F.struct(*values)
+    d0 = df.withColumn("_bk", bucket).withColumn("_v", val if include is None else F.when(include, val))
+    w = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d0.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
+    last = (d0.filter(F.col("_v").isNotNull()).groupBy(*keys, "_bk")
+            .agg(F.max_by("_v", F.struct(*order)).alias("_last")))
+    carry = last.select(*keys, "_bk", F.last("_last", ignorenulls=True).over(
+        Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_carry"))
+    d = d.join(carry, [*keys, "_bk"], "left").withColumn("_p", F.coalesce("_in", "_carry"))
     for v in values:
-        d = d.withColumn(f"{prefix}{v}", F.when(first, F.col(f"_carry.{v}")).otherwise(F.col(f"_lag_{v}")))
-    d = d.withColumn(f"{prefix}exists", F.when(first, F.col("_carry").isNotNull()).otherwise(F.lit(True)))
-    return d.drop("_bk", "_rn", "_carry", *[f"_lag_{v}" for v in values])
+        d = d.withColumn(f"{prefix}{v}", F.col(f"_p.{v}"))
+    d = d.withColumn(f"{prefix}exists", F.col("_p").isNotNull())
+    return d.drop("_bk", "_v", "_in", "_carry", "_p")
+
+
+def keyed_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+              values: Sequence[str], bucket: Column, prefix: str = "prev_") -> DataFrame:
+    """Previous row's ``values`` within ``keys`` (``keyed_last_before`` of all rows)."""
+    return keyed_last_before(df, keys, order, values, bucket, None, prefix)
 
 
 def keyed_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column],

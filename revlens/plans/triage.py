@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, ReviewConfig
 from ..functions.scoring import (escalates, language_of, round_confidence, severity_rank,
                                  tier_from_score, tier_rank)
-from ..operators.windows import keyed_lag, keyed_position
+from ..operators.windows import keyed_last_before, keyed_position
 
 
 def within_run_dedup(findings: DataFrame) -> DataFrame:
@@ -80,21 +80,23 @@ def with_run_start(findings: DataFrame, runs: DataFrame) -> DataFrame:
                          "pipeline_run_id", "left")
 
 
-def cross_run_duplicates(winners: DataFrame, cfg: ReviewConfig = DEFAULT) -> DataFrame:
+def cross_run_duplicates(findings: DataFrame, cfg: ReviewConfig = DEFAULT) -> DataFrame:
     """Compare each within-run winner with the winner of the nearest earlier
     run for the same key (Q21).  Key = location_hash (repo scope: the hash
     already contains the repo) or (pull_request_id, location_hash).
 
-    Adds ``prior_id``, ``prior_content_hash`` and ``is_prior_dup`` (both content
-    hashes present and equal).  The ordered pass is split by day of run start
-    so one hot location does not land in one task.
+    Runs over all rows (losers included, they are never a prior) and adds
+    ``prior_id``, ``prior_content_hash`` and ``is_prior_dup`` (winner whose
+    content hash equals the prior's, both present).  The ordered pass is
+    split by day of run start so one hot location does not land in one task.
     """
     keys = ["location_hash"] if cfg.prior_scope == "repo" else ["pull_request_id", "location_hash"]
     bucket = F.date_trunc("day", F.col("run_started_at").cast("timestamp"))
-    d = keyed_lag(winners, keys, ["run_started_at", "pipeline_run_id", "id"],
-                  ["id", "content_hash"], bucket, prefix="prior_")
+    winner = F.coalesce(F.col("is_winner"), F.lit(True))
+    d = keyed_last_before(findings, keys, ["run_started_at", "pipeline_run_id", "id"],
+                          ["id", "content_hash"], bucket, include=winner, prefix="prior_")
     d = d.drop("prior_exists")
-    return d.withColumn("is_prior_dup", F.coalesce(
+    return d.withColumn("is_prior_dup", winner & F.coalesce(
         F.col("prior_content_hash").isNotNull() & F.col("content_hash").isNotNull() &
         (F.col("prior_content_hash") == F.col("content_hash")), F.lit(False)))
 
@@ -105,6 +107,8 @@ def triage(findings: DataFrame, runs: DataFrame, dismissed: DataFrame,
 
     Every input row comes out once with ``decision`` in (inline, summary,
     suppress), ``suppression_reason`` and ``dup_kind`` (within_run / prior_run).
+    One lineage, no branch split: within-run losers ride along and are
+    decided by their flag.
     """
     d = within_run_dedup(findings)
     d = confidence_penalty(d, cfg)
@@ -112,34 +116,28 @@ def triage(findings: DataFrame, runs: DataFrame, dismissed: DataFrame,
     dis = dismissed.select(F.col("fingerprint").alias("location_hash"), "repo_full_name",
                            F.lit(True).alias("is_dismissed")).dropDuplicates(
         ["location_hash", "repo_full_name"])
-    winners = d.filter("is_winner")
-    losers = d.filter(~F.col("is_winner"))
-    w = cross_run_duplicates(winners, cfg)
-    w = w.join(dis, ["location_hash", "repo_full_name"], "left")
+    d = cross_run_duplicates(d, cfg)
+    d = d.join(dis, ["location_hash", "repo_full_name"], "left")
     esc = escalates("category", "severity", cfg)
-    decision = (F.when(F.col("is_dismissed"), "suppress")
-                .when(F.col("is_prior_dup"), "suppress")
+    loser = ~F.col("is_winner")
+    dismissed_hit = F.col("is_winner") & F.coalesce(F.col("is_dismissed"), F.lit(False))
+    decision = (F.when(loser | dismissed_hit | F.col("is_prior_dup"), "suppress")
                 .when(esc | (F.col("confidence_tier") == "high"), "inline")
                 .when(F.col("confidence_tier") == "medium", "summary")
                 .otherwise("suppress"))
-    reason = (F.when(F.col("is_dismissed"), "dismissed_fingerprint")
+    reason = (F.when(loser, "duplicate")
+              .when(dismissed_hit, "dismissed_fingerprint")
               .when(F.col("is_prior_dup"), "duplicate")
               .when(esc | F.col("confidence_tier").isin("high", "medium"), F.lit(None))
               .otherwise("low_confidence"))
-    w = (w.withColumn("escalated", esc)
-          .withColumn("decision", decision)
-          .withColumn("suppression_reason", reason)
-          .withColumn("dup_kind", F.when(F.col("is_prior_dup") & ~F.coalesce(F.col("is_dismissed"),
-                                                                             F.lit(False)),
-                                         F.lit("prior_run"))))
-    lo = (losers.withColumn("escalated", escalates("category", "severity", cfg))
-                .withColumn("decision", F.lit("suppress"))
-                .withColumn("dup_kind", F.lit("within_run"))
-                .withColumn("prior_id", F.lit(None).cast("string"))
-                .withColumn("prior_content_hash", F.lit(None).cast("string"))
-                .withColumn("is_prior_dup", F.lit(False))
-                .withColumn("is_dismissed", F.lit(None).cast("boolean")))
-    return w.unionByName(lo)
+    dup_kind = (F.when(loser, "within_run")
+                .when(~dismissed_hit & F.col("is_prior_dup"), "prior_run"))
+    return (d.withColumn("escalated", esc)
+             .withColumn("decision", decision)
+             .withColumn("suppression_reason", reason)
+             .withColumn("dup_kind", dup_kind)
+             .withColumn("prior_id", F.when(F.col("is_winner"), F.col("prior_id")))
+             .withColumn("prior_content_hash", F.when(F.col("is_winner"), F.col("prior_content_hash"))))
 
 
 TRIAGE_COLUMNS = ["id", "pull_request_id", "pipeline_run_id", "repo_full_name", "location_hash",

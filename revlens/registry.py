@@ -554,8 +554,8 @@ def q_e3(spark, d):
 @entry("cross_run_duplicates")
 def q_e4(spark, d):
     v = views(spark, d)
-    w = T.with_run_start(T.within_run_dedup(v.findings).filter("is_winner"), v.pipeline_runs)
-    return T.cross_run_duplicates(w).select("id", "prior_id", "is_prior_dup")
+    w = T.with_run_start(T.within_run_dedup(v.findings), v.pipeline_runs)
+    return T.cross_run_duplicates(w).filter("is_winner").select("id", "prior_id", "is_prior_dup")
 
 
 @entry("breaker_streaks")
