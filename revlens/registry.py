@@ -671,3 +671,196 @@ def q_h14(spark, d):
                     S.severity_rank("severity").alias("severity_rank"),
                     S.escalates("category", "severity").alias("escalates"),
                     S.language_of("file_path")["language"].alias("language"))
+
+
+# --------------------------------------------------------------- text / planner
+def _index(spark, d):
+    from .plans.planner import Index
+    from .sources import synth
+    return Index(synth.source_files(spark, d), synth.diffs(spark, d))
+
+
+@entry("read_source_files")
+def q_a13(spark, d):
+    from .sources import synth
+    return synth.source_files(spark, d)
+
+
+@entry("read_model_responses")
+def q_a14(spark, d):
+    from .sources import synth
+    return synth.model_answers(spark, d)
+
+
+@entry("parse_hunks")
+def q_h20(spark, d):
+    return _index(spark, d).hunks
+
+
+@entry("changed_files")
+def q_g4(spark, d):
+    from .operators.code_index import changed_files
+    from .sources import synth
+    return changed_files(synth.diffs(spark, d))
+
+
+@entry("infer_symbols")
+def q_h28(spark, d):
+    return _index(spark, d).defs.select("path", "name", "start_line", "param_count", "exported")
+
+
+@entry("symbol_line_ranges")
+def q_e6(spark, d):
+    return _index(spark, d).symbols.select("path", "name", "start_line", "end_line")
+
+
+@entry("symbol_overlaps_hunk")
+def q_c7(spark, d):
+    return _index(spark, d).changed.select("pull_request_id", "path", "name", "changed_lines")
+
+
+@entry("change_cone")
+def q_c8(spark, d):
+    from .operators.code_index import change_cone
+    ix = _index(spark, d)
+    return change_cone(ix.changed, ix.imports, ix.calls)
+
+
+@entry("test_file_map")
+def q_c10(spark, d):
+    return _index(spark, d).tests
+
+
+@entry("risk_score")
+def q_h8(spark, d):
+    from .plans.planner import scored_symbols
+    return scored_symbols(_index(spark, d)).select("pull_request_id", "path", "name", "has_tests", "risk_score")
+
+
+@entry("task_types")
+def q_h9(spark, d):
+    from .plans.planner import scored_symbols
+    s = scored_symbols(_index(spark, d))
+    return s.select("pull_request_id", "path", "name", F.explode(S.task_types(
+        "path", "name", "exported", "start_line", "end_line", "param_count", "has_tests")).alias("task_type"))
+
+
+@entry("threshold_filter")
+def q_h11(spark, d):
+    from .plans.planner import above_threshold, scored_symbols
+    return above_threshold(scored_symbols(_index(spark, d))).select("pull_request_id", "path", "name")
+
+
+@entry("infra_yaml")
+def q_h12(spark, d):
+    from .sources import synth
+    return synth.source_files(spark, d).select("path", S.is_infra_yaml("path").alias("infra_yaml"))
+
+
+@entry("file_level_tasks")
+def q_h13(spark, d):
+    from .plans.planner import file_level_tasks
+    return file_level_tasks(_index(spark, d))
+
+
+@entry("generate_tasks")
+def q_j3(spark, d):
+    from .plans.planner import generate_tasks
+    return generate_tasks(_index(spark, d)).select("task_id", "pull_request_id", "path", "symbol",
+                                                   "task_type", "risk_score", "model_id", "file_level")
+
+
+@entry("token_packing")
+def q_e7(spark, d):
+    """E7 over every document: lines kept under a 512-token budget."""
+    from .plans.planner import pack_lines
+    docs = views(spark, d).table("documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    p = pack_lines(lines, ["doc_id"], ["pos"], "line", F.lit(512))
+    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("kept").alias("kept_lines"),
+                                   F.max(F.when(F.col("kept"), F.col("running_tokens"))).alias("kept_tokens"))
+
+
+def _slices(spark, d):
+    from .plans.planner import build_slices, generate_tasks
+    ix = _index(spark, d)
+    return build_slices(ix, generate_tasks(ix))
+
+
+@entry("build_slices")
+def q_j4(spark, d):
+    return _slices(spark, d).select(
+        "task_id", "cap_diff", "cap_call_graph", "cap_tests", "cap_total", "diff_available",
+        "call_graph_available", "test_available", "diff_tokens", "call_graph_tokens", "test_tokens",
+        "truncated", "diff_hunk", "call_graph", "test_context")
+
+
+@entry("build_prompts")
+def q_j5(spark, d):
+    from .plans.planner import build_prompts
+    return build_prompts(_slices(spark, d)).select("task_id", "prompt_hash", "prompt_tokens")
+
+
+@entry("extract_json")
+def q_h21(spark, d):
+    from .functions.text import extract_json
+    from .sources import synth
+    return synth.model_answers(spark, d).select("task_id", extract_json("raw").alias("json"))
+
+
+def _parsed(spark, d):
+    from .plans.findings_flow import parse_findings
+    from .sources import synth
+    return parse_findings(synth.model_answers(spark, d), _index(spark, d).hunks)
+
+
+@entry("parse_findings")
+def q_h22(spark, d):
+    return _parsed(spark, d).select("task_id", "ordinal", "category", "severity", "confidence", "file_path",
+                                    "start_line", "status", "reason")
+
+
+def _normalised(spark, d):
+    from .plans.findings_flow import normalise_findings
+    ix = _index(spark, d)
+    v = views(spark, d)
+    tasks = v.review_tasks.select(F.col("id").alias("task_id"), F.lit("").alias("symbol"), "model_id")
+    return normalise_findings(_parsed(spark, d), ix.lines, v.pull_requests, tasks)
+
+
+@entry("normalise_findings")
+def q_j6(spark, d):
+    return _normalised(spark, d).select("id", "repo_full_name", "file_path", "start_line", "category",
+                                        "confidence_score", "confidence_tier", "location_hash", "content_hash")
+
+
+@entry("content_hash")
+def q_h2(spark, d):
+    return _normalised(spark, d).select("id", "content_hash")
+
+
+@entry("rule_scan")
+def q_j7(spark, d):
+    from .plans.findings_flow import rule_scan
+    return rule_scan(views(spark, d).table("documents"))
+
+
+@entry("labelled_eval")
+def q_d14(spark, d):
+    """Documents flagged by the rule scan against the toxic label;
+    cost = scanned tokens per true positive."""
+    from .plans.findings_flow import rule_scan
+    v = views(spark, d)
+    docs = v.table("documents")
+    flagged = rule_scan(docs).select("doc_id").distinct().withColumn("flagged", F.lit(True))
+    scored = docs.select("doc_id", S.token_count("text").alias("tokens")).join(flagged, "doc_id", "left") \
+        .withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+    return D.labelled_eval(scored, v.table("labels"), "flagged", "toxic", "tokens")
+
+
+@entry("collect_findings")
+def q_g1(spark, d):
+    from .plans.findings_flow import rule_scan, tool_findings
+    model = _normalised(spark, d).select("id", "location_hash", "category")
+    tool = tool_findings(rule_scan(views(spark, d).table("documents"))).select("id", "location_hash", "category")
+    return Q.collect_findings(model, tool)
