@@ -864,3 +864,137 @@ def q_g1(spark, d):
     model = _normalised(spark, d).select("id", "location_hash", "category")
     tool = tool_findings(rule_scan(views(spark, d).table("documents"))).select("id", "location_hash", "category")
     return Q.collect_findings(model, tool)
+
+
+# --------------------------------------------------------------- composites and leftovers
+@entry("triage")
+def q_j1(spark, d):
+    return _triaged(views(spark, d)).select(
+        "id", "decision", "suppression_reason", "dup_kind", "escalated", "confidence_score",
+        "confidence_tier", "prior_id")
+
+
+@entry("confidence_penalty")
+def q_j2(spark, d):
+    pen = T.confidence_penalty(T.within_run_dedup(views(spark, d).findings))
+    return T.penalty_events(pen).select("finding_id", "event_type", "old_value", "new_value")
+
+
+@entry("persist_and_log")
+def q_j8(spark, d):
+    from .plans.findings_flow import persist_and_log
+    _, ev = persist_and_log(_triaged(views(spark, d)))
+    return ev.select("finding_id", "event_type", "new_value", "seq")
+
+
+@entry("scorecard")
+def q_j10(spark, d):
+    from .plans.summary import scorecard
+    v = views(spark, d)
+    f, t, p = v.findings, v.review_tasks, v.pull_requests
+    w = DEFAULT.window_days
+    return scorecard({
+        "false_positive_rate": D.false_positive_rate(f, v.finding_events, D.newest(f), w),
+        "task_success_rate": D.task_success_rate(t, D.newest(t), w),
+        "findings_per_pr": D.findings_per_pr(p, f, D.newest(p), w).drop("pr_number"),
+        "tier_distribution": D.tier_distribution(f, D.newest(f), w),
+        "model_usage": D.model_usage(f, D.newest(f), w),
+        "addressed_status_counts": D.addressed_counts(f, D.newest(f), w),
+    })
+
+
+@entry("adversarial_verdicts")
+def q_c13(spark, d):
+    """Reactions act as the rebuttal verdicts (down only -> reject, both ->
+    weaken, up only -> uphold)."""
+    v = views(spark, d)
+    r = D.reactions(v.finding_events)
+    verdicts = r.select("finding_id", F.when((F.col("thumbs_down") > 0) & (F.col("thumbs_up") == 0), "reject")
+                        .when((F.col("thumbs_down") > 0) & (F.col("thumbs_up") > 0), "weaken")
+                        .otherwise("uphold").alias("verdict"))
+    out = J.adversarial_verdicts(v.findings, verdicts)
+    return out.select("id", "verdict", "verdict_action", "confidence_score")
+
+
+@entry("retryable")
+def q_h23(spark, d):
+    """H23 over provider attempts of failed tasks: status by id (429, 500, 503, 400),
+    every fifth attempt a timeout."""
+    t = views(spark, d).review_tasks.filter(F.col("status") == "failed")
+    a = t.select("id", F.element_at(F.array(F.lit(429), F.lit(500), F.lit(503), F.lit(400)),
+                                    (F.col("id") % 4 + 1).cast("int")).alias("status_code"),
+                 F.when(F.col("id") % 5 == 0, "timeout").otherwise("http").alias("error_kind"))
+    return a.withColumn("retryable", S.retryable("status_code", "error_kind"))
+
+
+@entry("comment_body")
+def q_h24(spark, d):
+    from .functions.text import comment_body
+    t = _triaged(views(spark, d)).filter(F.col("decision") == "inline")
+    return t.select("id", comment_body("severity", "category", "confidence_tier", "title", "body",
+                                       "suggestion").alias("body"))
+
+
+@entry("summary_comment")
+def q_h25(spark, d):
+    from .plans.summary import summary_comment
+    v = views(spark, d)
+    return summary_comment(v.pull_requests, _triaged(v), v.review_tasks)
+
+
+@entry("config_hash")
+def q_h26(spark, d):
+    from .functions.hashing import config_hash
+    r = views(spark, d).pipeline_runs
+    return r.select("id", config_hash(F.struct("prompt_version", "metadata")).alias("config_sha"))
+
+
+@entry("prompt_hash")
+def q_h27(spark, d):
+    from .functions.hashing import prompt_hash
+    c = views(spark, d).table("conversations").filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", prompt_hash("text").alias("prompt_hash"))
+
+
+@entry("token_budget_total")
+def q_h4(spark, d):
+    t = views(spark, d).review_tasks
+    b = S.token_budget(S.model_budget("model_id"), F.col("task_type"), S.language_of("file_path")["approximate"])
+    return t.select("id", S.budget_total(b).alias("total"))
+
+
+@entry("round_confidence")
+def q_h15(spark, d):
+    f = views(spark, d).findings
+    return f.select("id", S.round_confidence(F.col("confidence_score") * DEFAULT.penalty_factor).alias("score"))
+
+
+@entry("validate_tier")
+def q_h16(spark, d):
+    f = views(spark, d).findings
+    return f.select("id", S.tier_ok("confidence_tier", "confidence_score").alias("tier_ok"))
+
+
+@entry("severity_rank")
+def q_h17(spark, d):
+    return views(spark, d).findings.select("id", S.severity_rank("severity").alias("severity_rank"))
+
+
+@entry("escalates")
+def q_h18(spark, d):
+    return views(spark, d).findings.select("id", S.escalates("category", "severity").alias("escalates"))
+
+
+@entry("language_of")
+def q_h19(spark, d):
+    from .sources import synth
+    f = synth.source_files(spark, d)
+    l = S.language_of("path")
+    return f.select("path", l["language"].alias("language"), l["approximate"].alias("approximate"),
+                    l["has_grammar"].alias("has_grammar"))
+
+
+@entry("review_run")
+def q_j9(spark, d):
+    from .plans.summary import review_run
+    return review_run(spark, d)
