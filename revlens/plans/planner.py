@@ -8,6 +8,7 @@ and materialises text last, each section cut to its allocation.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +32,22 @@ def task_id(pr, path, symbol, task_type) -> Column:
 class Index:
     """The approximate index of one file snapshot (lazy DataFrames)."""
 
-    def __init__(self, files: DataFrame, diffs: DataFrame, cfg: ReviewConfig = DEFAULT):
-        self.files, self.diffs = files, diffs
-        self.lines = file_lines(files)
+    def __init__(self, files: DataFrame, diffs: DataFrame, cfg: ReviewConfig = DEFAULT,
+                 persist: bool = True):
+        # The snapshot's files and lines feed every index table (defs, imports,
+        # calls, test map); they are persisted once (memory, spilling to disk)
+        # instead of being re-derived by each consumer.  Identical plans share
+        # the cached blocks; lost blocks are recomputed from lineage.
+        keep = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if persist else (lambda df: df)
+        self.files, self.diffs = keep(files), keep(diffs)
+        self.lines = keep(file_lines(self.files))
         self.defs = X.definitions(self.lines)
-        self.symbols = X.symbol_ranges(self.defs, self.lines)
+        self.symbols = keep(X.symbol_ranges(self.defs, self.lines))
         self.imports = X.imports(self.lines)
         self.calls = X.calls(self.lines)
-        self.hunks = X.parse_hunks(diffs, cfg.exact_hunk_end)
-        self.changed = X.overlapping_symbols(self.hunks, self.symbols)
-        self.tests = X.test_file_map(files)
+        self.hunks = keep(X.parse_hunks(self.diffs, cfg.exact_hunk_end))
+        self.changed = keep(X.overlapping_symbols(self.hunks, self.symbols))
+        self.tests = keep(X.test_file_map(self.files))
 
 
 def scored_symbols(ix: Index, cfg: ReviewConfig = DEFAULT) -> DataFrame:

@@ -960,7 +960,7 @@ def q_h27(spark, d):
 def q_h4(spark, d):
     t = views(spark, d).review_tasks
     b = S.token_budget(S.model_budget("model_id"), F.col("task_type"), S.language_of("file_path")["approximate"])
-    return t.select("id", S.budget_total(b).alias("total"))
+    return t.select("id", b.alias("b")).select("id", S.budget_total(F.col("b")).alias("total"))
 
 
 @entry("round_confidence")
