@@ -72,11 +72,14 @@ def q_upsert(spark, d):
 
 
 def _payloads(v):
+    return payloads_of(v.pull_requests)
+
+
+def payloads_of(p):
     """A2/A3 input: one webhook delivery per PR head.  First head of a PR is
     'opened', later heads 'synchronize', closed PRs send 'closed'; every 11th
     delivery is a check_suite event, every 13th lacks the repository, every
     7th is signed with a wrong key."""
-    p = v.pull_requests
     action = F.when(F.col("state") == "closed", "closed") \
         .when(F.col("id") % 3 == 0, "opened").otherwise("synchronize")
     repo = F.when(F.col("id") % 13 == 0, F.lit(None)).otherwise(
@@ -998,3 +1001,46 @@ def q_h19(spark, d):
 def q_j9(spark, d):
     from .plans.summary import review_run
     return review_run(spark, d)
+
+
+# --------------------------------------------------------------- streaming (2.I)
+@entry("stream_pr_events")
+def q_i1(spark, d):
+    from .streaming.streams import stream_pr_events
+
+    def deliveries(prs):
+        raw = payloads_of(prs)
+        sig = F.concat(F.lit("sha256="), F.when(F.col("_wrong_key"), hmac_sha256_hex("payload", "wrong-secret"))
+                       .otherwise(hmac_sha256_hex("payload", WEBHOOK_KEY)))
+        return raw.withColumn("signature", sig)
+    return stream_pr_events(spark, d, WEBHOOK_KEY, deliveries)
+
+
+@entry("stream_reactions")
+def q_i2(spark, d):
+    from .streaming.streams import stream_reactions
+    return stream_reactions(spark, d, views(spark, d).findings)
+
+
+@entry("stream_scorecard")
+def q_i3(spark, d):
+    from .streaming.streams import stream_scorecard
+    return stream_scorecard(spark, d, views(spark, d).findings)
+
+
+@entry("stream_posting_retry")
+def q_i4(spark, d):
+    from .streaming.streams import stream_posting_retry
+    return stream_posting_retry(spark, d, views(spark, d).pipeline_runs)
+
+
+@entry("stream_stale_runs")
+def q_i5(spark, d):
+    from .streaming.streams import stream_stale_runs
+    return stream_stale_runs(spark, d, 24.0)
+
+
+@entry("stream_finding_events")
+def q_i6(spark, d):
+    from .streaming.streams import stream_finding_events
+    return stream_finding_events(spark, _triaged(views(spark, d)))

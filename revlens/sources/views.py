@@ -50,7 +50,11 @@ def head_sha_of(order_key) -> F.Column:
 
 
 def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
+    return pull_requests_from(read_table(spark, sf_dir, "orders"))
+
+
+def pull_requests_from(o: DataFrame) -> DataFrame:
+    """Row-local, so it serves batch and streaming ``orders`` alike."""
     k = F.col("o_orderkey")
     ext = F.floor(k / HEADS_PER_PR).cast("bigint")
     return o.select(
@@ -71,7 +75,10 @@ def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders")
+    return pipeline_runs_from(read_table(spark, sf_dir, "orders"))
+
+
+def pipeline_runs_from(o: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     status = F.when(F.col("o_orderpriority") == "1-URGENT", "running") \
         .when(F.col("o_orderpriority") == "5-LOW", "failed").otherwise("completed")
@@ -127,7 +134,10 @@ def review_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem")
+    return findings_from(read_table(spark, sf_dir, "lineitem"))
+
+
+def findings_from(li: DataFrame) -> DataFrame:
     ok, pk, sk, ln = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     qty = F.floor(F.col("l_quantity")).cast("int")
     fidx = pk % 6
@@ -181,8 +191,16 @@ def finding_events(spark: SparkSession, sf_dir: str, f: DataFrame | None = None)
     many findings costs one row per task before the shuffle.
     """
     f = f if f is not None else findings(spark, sf_dir)
-    first = f.groupBy("pull_request_id").agg(F.min("id").alias("finding_id"))
-    ev = read_table(spark, sf_dir, "events")
+    return finding_events_from(read_table(spark, sf_dir, "events"), first_findings(f))
+
+
+def first_findings(f: DataFrame) -> DataFrame:
+    return f.groupBy("pull_request_id").agg(F.min("id").alias("finding_id"))
+
+
+def finding_events_from(ev: DataFrame, first: DataFrame) -> DataFrame:
+    """Events joined to the first finding of their PR (stream-static join when
+    ``ev`` is a stream)."""
     et = None
     for src, dst in EVENT_TYPE_MAP.items():
         et = F.when(F.col("event_type") == src, dst) if et is None else et.when(F.col("event_type") == src, dst)
