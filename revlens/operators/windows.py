@@ -48,8 +48,10 @@ def keyed_last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     d0 = df.withColumn("_bk", bucket).withColumn("_v", val if include is None else F.when(include, val))
     w = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d0.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
-    last = (d0.filter(F.col("_v").isNotNull()).groupBy(*keys, "_bk")
-            .agg(F.max_by("_v", F.struct(*order)).alias("_last")))
+    # one row per (key, bucket) -- also for buckets without an included row,
+    # so the carry reaches every bucket; max_by skips rows whose order is NULL
+    last = (d0.groupBy(*keys, "_bk")
+            .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last")))
     carry = last.select(*keys, "_bk", F.last("_last", ignorenulls=True).over(
         Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1))
         .alias("_carry"))
