@@ -118,7 +118,8 @@ def pack_lines(lines: DataFrame, group: list[str], order: list[str], text: str,
     d = d.withColumn("_cap", cap).withColumn("_bytes", F.octet_length(text) + 1)
     d = d.withColumn("_cum", F.sum("_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     d = d.withColumn("running_tokens", F.ceil(F.col("_cum") / F.lit(BYTES_PER_TOKEN)).cast("bigint"))
-    return d.withColumn("kept", F.col("running_tokens") <= F.col("_cap")).drop("_bytes", "_cum", "_cap")
+    return d.withColumn("kept", F.coalesce(F.col("running_tokens") <= F.col("_cap"), F.lit(True))) \
+        .drop("_bytes", "_cum", "_cap")
 
 
 def allocate(diff_t, cg_t, test_t, cap_d, cap_cg, cap_t, total) -> Column:
@@ -162,14 +163,18 @@ def build_slices(ix: Index, tasks: DataFrame, cfg: ReviewConfig = DEFAULT) -> Da
     test_t = token_count("test_text")
     t = t.withColumn("alloc", allocate(diff_t, cg_t, test_t, F.col("budget.diff_hunk"),
                                        F.col("budget.call_graph"), F.col("budget.tests"), total))
-    # call-graph text: pack reference lines under the allocation (lengths first, text last)
-    cap = t.select("task_id", "pull_request_id", "path", "symbol", F.col("alloc.call_graph_tokens").alias("cg_cap"))
-    packed = pack_lines(refs.join(cap.filter(F.col("cg_cap") > 0), ["pull_request_id", "path", "symbol"]),
-                        ["task_id"], ["importer", "line_no"], "ref", F.col("cg_cap"))
-    cg_text = packed.filter("kept").groupBy("task_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("importer", "line_no", "ref"))),
-                                 lambda x: x["ref"]), "\n").alias("call_graph_text"))
-    t = t.join(cg_text, "task_id", "left")
+    # call-graph text: running tokens depend only on the symbol's reference
+    # list, not on the task, so lines are packed once per symbol (window
+    # pre-limited to the largest possible cap) and each task keeps the prefix
+    # under its own allocation, row-locally.
+    packed = pack_lines(refs, ["pull_request_id", "path", "symbol"], ["importer", "line_no"], "ref",
+                        F.lit(None).cast("bigint"))
+    ranked = packed.groupBy("pull_request_id", "path", "symbol").agg(
+        F.array_sort(F.collect_list(F.struct("running_tokens", "importer", "line_no", "ref"))).alias("_refs"))
+    t = t.join(ranked, ["pull_request_id", "path", "symbol"], "left")
+    cg_cap = F.col("alloc.call_graph_tokens")
+    t = t.withColumn("call_graph_text", F.when(cg_cap > 0, F.array_join(F.transform(
+        F.filter("_refs", lambda x: x["running_tokens"] <= cg_cap), lambda x: x["ref"]), "\n")))
     diff_cut = truncate_to_tokens(F.col("diff_text"), F.col("alloc.diff_tokens"))
     test_cut = truncate_to_tokens(F.col("test_text"), F.col("alloc.test_tokens"))
     return t.select(

@@ -1044,3 +1044,11 @@ def q_i5(spark, d):
 def q_i6(spark, d):
     from .streaming.streams import stream_finding_events
     return stream_finding_events(spark, _triaged(views(spark, d)))
+
+
+@entry("static_tool_grounding")
+def q_c11(spark, d):
+    from .plans.findings_flow import code_scan, static_tool_grounding
+    from .plans.planner import generate_tasks
+    ix = _index(spark, d)
+    return static_tool_grounding(code_scan(ix.lines), generate_tasks(ix), ix.symbols)
