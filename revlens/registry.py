@@ -75,7 +75,7 @@ def _payloads(v):
     return payloads_of(v.pull_requests)
 
 
-def payloads_of(p):
+def payloads_of(p, extra: tuple = ()):
     """A2/A3 input: one webhook delivery per PR head.  First head of a PR is
     'opened', later heads 'synchronize', closed PRs send 'closed'; every 11th
     delivery is a check_suite event, every 13th lacks the repository, every
@@ -93,7 +93,7 @@ def payloads_of(p):
         repo.alias("repository")))
     ev_type = F.when(F.col("id") % 11 == 0, "check_suite").otherwise("pull_request")
     return p.select(F.col("id").alias("delivery_id"), ev_type.alias("event_type"),
-                    payload.alias("payload"), (F.col("id") % 7 == 0).alias("_wrong_key"))
+                    payload.alias("payload"), (F.col("id") % 7 == 0).alias("_wrong_key"), *extra)
 
 
 WEBHOOK_KEY = "test-secret"
@@ -1009,7 +1009,7 @@ def q_i1(spark, d):
     from .streaming.streams import stream_pr_events
 
     def deliveries(prs):
-        raw = payloads_of(prs)
+        raw = payloads_of(prs, (F.col("created_at").cast("timestamp").alias("received_at"),))
         sig = F.concat(F.lit("sha256="), F.when(F.col("_wrong_key"), hmac_sha256_hex("payload", "wrong-secret"))
                        .otherwise(hmac_sha256_hex("payload", WEBHOOK_KEY)))
         return raw.withColumn("signature", sig)
