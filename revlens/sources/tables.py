@@ -29,7 +29,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     When the scan yields fewer splits than the cluster has task slots, the
     rows are hash-spread over ``defaultParallelism`` partitions by their
-    leading (key) columns so the row-local work (hashing, string building)
+    leading (key) column so the row-local work (hashing, string building)
     uses every core.  Hash placement is deterministic, so a retried task
     rebuilds exactly its rows (round-robin would need a sort first).  On a
     large input the scan already has thousands of splits and this is a no-op.
@@ -37,7 +37,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, *df.columns[:2])
+        return df.repartition(target, df.columns[0])
     return df
 
 
