@@ -26,32 +26,38 @@ def _cols(xs) -> list[Column]:
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    values: Sequence[str], newest: bool = True) -> DataFrame:
     """Top-1 row per key by ``order`` (F3/C1) via map-side-combined max_by/min_by."""
-    pick = F.max_by if newest else F.min_by
-    agg = pick(F.struct(*values), F.struct(*order)).alias("_top")
-    return df.groupBy(*keys).agg(agg).select(*keys, *[F.col(f"_top.{v}").alias(v) for v in values])
+    # max/min over struct(order, values): lexicographic on the order fields first
+    pick = F.max if newest else F.min
+    agg = pick(F.struct(F.struct(*order).alias("o"), F.struct(*values).alias("v"))).alias("_top")
+    return df.groupBy(*keys).agg(agg).select(*keys, *[F.col(f"_top.v.{v}").alias(v) for v in values])
 
 
 def keyed_last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                      values: Sequence[str], bucket: Column, include: Column | None = None,
+                      values: Sequence[str], bucket: Column | None, include: Column | None = None,
                       prefix: str = "prev_") -> DataFrame:
     """For every row, ``values`` of the last earlier row of the same key (by
     ``order``, ascending) that satisfies ``include`` (all rows when None).
 
     ``bucket`` must be non-decreasing along ``order`` within a key (e.g. the day
-    of the leading timestamp).  The ordered pass runs per (key, bucket), so a
-    hot key is spread over many tasks; a small per-(key, bucket) table of the
+    of the leading timestamp); ``None`` means the input already has a ``_bk``
+    column (and may already be partitioned by (keys, _bk), which every step
+    below then reuses without another shuffle).  The ordered pass runs per
+    (key, bucket), so a hot key is spread over many tasks; a small per-(key, bucket) table of the
     last included row carries the answer across bucket boundaries.  Adds
     ``{prefix}{v}`` columns and ``{prefix}exists``.
     """
     keys, order, values = list(keys), list(order), list(values)
     val = F.struct(*values)
-    d0 = df.withColumn("_bk", bucket).withColumn("_v", val if include is None else F.when(include, val))
+    d0 = df.withColumn("_bk", bucket) if bucket is not None else df
+    d0 = d0.withColumn("_v", val if include is None else F.when(include, val))
     w = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d0.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
     # one row per (key, bucket) -- also for buckets without an included row,
     # so the carry reaches every bucket; max_by skips rows whose order is NULL
     last = (d0.groupBy(*keys, "_bk")
-            .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last")))
+            .agg(F.max(F.when(F.col("_v").isNotNull(),
+                              F.struct(F.struct(*order).alias("o"), F.col("_v").alias("v")))).alias("_m"))
+            .select(*keys, "_bk", F.col("_m.v").alias("_last")))
     carry = last.select(*keys, "_bk", F.last("_last", ignorenulls=True).over(
         Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1))
         .alias("_carry"))

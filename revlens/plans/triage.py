@@ -7,7 +7,7 @@ all findings of all PRs, instead of a per-finding lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ReviewConfig
@@ -24,10 +24,11 @@ def within_run_dedup(findings: DataFrame) -> DataFrame:
     on the unique finding id, which never skews.  Losers are kept with
     ``suppression_reason = 'duplicate'``.
     """
+    # min over an ordered struct = the row with the best (score, earliest, id)
     winners = (findings.groupBy("pipeline_run_id", "location_hash")
-               .agg(F.min_by("id", F.struct((-F.col("confidence_score")).alias("s"),
-                                            F.col("created_at"), F.col("id"))).alias("id"))
-               .select("id", F.lit(True).alias("is_winner")))
+               .agg(F.min(F.struct((-F.col("confidence_score")).alias("s"), F.col("created_at").alias("t"),
+                                   F.col("id").alias("id"))).alias("w"))
+               .select(F.col("w.id").alias("id"), F.lit(True).alias("is_winner")))
     out = findings.join(winners, "id", "left") \
         .withColumn("is_winner", F.coalesce(F.col("is_winner"), F.lit(False)))
     return out.withColumn(
@@ -107,16 +108,31 @@ def triage(findings: DataFrame, runs: DataFrame, dismissed: DataFrame,
 
     Every input row comes out once with ``decision`` in (inline, summary,
     suppress), ``suppression_reason`` and ``dup_kind`` (within_run / prior_run).
-    One lineage, no branch split: within-run losers ride along and are
-    decided by their flag.
+
+    One shuffle of the findings: rows are hash-partitioned by (location key,
+    day of run start).  A run's findings for one location all share that
+    bucket, so the within-run winner (E2) is a window inside the partition;
+    the cross-run pass (E4), its per-bucket carry aggregate and the carry
+    join reuse the same partitioning.  A hot location is spread over its days.
     """
-    d = within_run_dedup(findings)
+    keys = ["location_hash"] if cfg.prior_scope == "repo" else ["pull_request_id", "location_hash"]
+    d = with_run_start(findings, runs) \
+        .withColumn("_bk", F.date_trunc("day", F.col("run_started_at").cast("timestamp")))
+    d = d.repartition(*keys, "_bk")
+    w = Window.partitionBy(*keys, "_bk", "pipeline_run_id").orderBy(
+        F.col("confidence_score").desc(), F.col("created_at"), F.col("id"))
+    d = d.withColumn("is_winner", F.row_number().over(w) == 1) \
+        .withColumn("suppression_reason",
+                    F.when(~F.col("is_winner"), F.lit("duplicate")).otherwise(F.col("suppression_reason")))
     d = confidence_penalty(d, cfg)
-    d = with_run_start(d, runs)
+    d = keyed_last_before(d, keys, ["run_started_at", "pipeline_run_id", "id"], ["id", "content_hash"],
+                          None, include=F.col("is_winner"), prefix="prior_").drop("prior_exists")
+    d = d.withColumn("is_prior_dup", F.col("is_winner") & F.coalesce(
+        F.col("prior_content_hash").isNotNull() & F.col("content_hash").isNotNull() &
+        (F.col("prior_content_hash") == F.col("content_hash")), F.lit(False)))
     dis = dismissed.select(F.col("fingerprint").alias("location_hash"), "repo_full_name",
                            F.lit(True).alias("is_dismissed")).dropDuplicates(
         ["location_hash", "repo_full_name"])
-    d = cross_run_duplicates(d, cfg)
     d = d.join(dis, ["location_hash", "repo_full_name"], "left")
     esc = escalates("category", "severity", cfg)
     loser = ~F.col("is_winner")
@@ -132,7 +148,8 @@ def triage(findings: DataFrame, runs: DataFrame, dismissed: DataFrame,
               .otherwise("low_confidence"))
     dup_kind = (F.when(loser, "within_run")
                 .when(~dismissed_hit & F.col("is_prior_dup"), "prior_run"))
-    return (d.withColumn("escalated", esc)
+    return (d.drop("_bk")
+             .withColumn("escalated", esc)
              .withColumn("decision", decision)
              .withColumn("suppression_reason", reason)
              .withColumn("dup_kind", dup_kind)
