@@ -54,11 +54,15 @@ def append_runs(current: DataFrame, new: DataFrame) -> DataFrame:
     n = new.withColumn("status", F.coalesce(F.col("status"), F.lit("running")))
     running_now = current.filter(F.col("status") == "running") \
         .select("pull_request_id", "head_sha").distinct().withColumn("_busy", F.lit(True))
-    w = Window.partitionBy("pull_request_id", "head_sha", "status").orderBy("created_at", "id")
-    n = n.join(running_now, ["pull_request_id", "head_sha"], "left") \
-        .withColumn("_rn", F.row_number().over(w))
-    conflict = (F.col("status") == "running") & (F.coalesce(F.col("_busy"), F.lit(False)) | (F.col("_rn") > 1))
-    return n.withColumn("outcome", F.when(conflict, "conflict").otherwise("inserted")).drop("_busy", "_rn")
+    # first running request per (PR, head) in the batch: a map-side-combined
+    # min, joined back on the unique run id (no window over a hot key)
+    first = (n.filter(F.col("status") == "running").groupBy("pull_request_id", "head_sha")
+             .agg(F.min(F.struct("created_at", "id")).alias("_f"))
+             .select(F.col("_f.id").alias("id"), F.lit(True).alias("_first")))
+    n = n.join(running_now, ["pull_request_id", "head_sha"], "left").join(first, "id", "left")
+    conflict = (F.col("status") == "running") & (F.coalesce(F.col("_busy"), F.lit(False)) |
+                                                 ~F.coalesce(F.col("_first"), F.lit(False)))
+    return n.withColumn("outcome", F.when(conflict, "conflict").otherwise("inserted")).drop("_busy", "_first")
 
 
 def append_tasks(new: DataFrame) -> DataFrame:

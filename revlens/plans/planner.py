@@ -49,6 +49,11 @@ class Index:
         self.changed = keep(X.overlapping_symbols(self.hunks, self.symbols))
         self.tests = keep(X.test_file_map(self.files))
 
+    def release(self) -> None:
+        """Drop the persisted index tables once the consumers are done."""
+        for df in (self.files, self.diffs, self.lines, self.symbols, self.hunks, self.changed, self.tests):
+            df.unpersist()
+
 
 def scored_symbols(ix: Index, cfg: ReviewConfig = DEFAULT) -> DataFrame:
     """H8: changed symbols with has_tests and risk score."""
