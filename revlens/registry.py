@@ -1052,3 +1052,11 @@ def q_c11(spark, d):
     from .plans.planner import generate_tasks
     ix = _index(spark, d)
     return static_tool_grounding(code_scan(ix.lines), generate_tasks(ix), ix.symbols)
+
+
+@entry("slice_allocations")
+def q_j4_alloc(spark, d):
+    """J4 lengths-first stage: caps, available tokens and the fill allocation per task."""
+    return _slices(spark, d).select(
+        "task_id", "cap_diff", "cap_call_graph", "cap_tests", "cap_total", "diff_available",
+        "call_graph_available", "test_available", "diff_tokens", "call_graph_tokens", "test_tokens", "truncated")
