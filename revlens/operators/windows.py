@@ -98,3 +98,20 @@ def keyed_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     d = d.join(before, [*keys, *bnames], "left")
     return d.withColumn(name, (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_rn")).cast("int")) \
         .drop("_rn", "_before", *bnames)
+
+
+def keyed_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column,
+                      bucket: Column, name: str = "running") -> DataFrame:
+    """Inclusive running sum of ``value`` within ``keys`` by ``order``, split by
+    a bucket that is non-decreasing along the order: in-bucket window sum plus
+    the total of earlier buckets (a window over the small per-bucket table)."""
+    keys = list(keys)
+    d = df.withColumn("_rb", bucket).withColumn("_val", value)
+    w = Window.partitionBy(*keys, "_rb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_in", F.sum("_val").over(w))
+    per = d.groupBy(*keys, "_rb").agg(F.sum("_val").alias("_tot"))
+    before = per.select(*keys, "_rb", F.sum("_tot").over(
+        Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    d = d.join(before, [*keys, "_rb"], "left")
+    return d.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_in")) \
+        .drop("_rb", "_val", "_in", "_before")

@@ -43,3 +43,13 @@ def test_latest_per_key_equals_top1(spark):
     w = Window.partitionBy("k").orderBy(F.col("ts").desc(), F.col("id").desc())
     want = {(r.k, r.id) for r in df.withColumn("rn", F.row_number().over(w)).filter("rn = 1").collect()}
     assert got == want
+
+
+def test_keyed_running_sum_equals_window(spark):
+    from revlens.operators.windows import keyed_running_sum
+    df = _data(spark)
+    order = [F.col("ts"), F.col("id")]
+    got = keyed_running_sum(df, ["k"], order, F.col("v"), F.date_trunc("day", "ts"), "rs")
+    want = df.withColumn("rs", F.sum("v").over(Window.partitionBy("k").orderBy(*order)
+                                                 .rowsBetween(Window.unboundedPreceding, 0)))
+    assert {(r.id, r.rs) for r in got.collect()} == {(r.id, r.rs) for r in want.collect()}
