@@ -4,11 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import packing, token_files
-from revlens.llm.common import table
+from revlens.llm import langid, packing, quality, token_files
+from revlens.llm.common import fold, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, fold(F.col("doc_id"), 3) != 1)
+    return langid.predict_language(docs, model).select(
+        "doc_id", _held_out(3, 1), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def _held_out(n: int, remainder: int) -> Column:
+    return F.coalesce(fold(F.col("doc_id"), n) == remainder, F.lit(False)).alias("held_out")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +41,6 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op9_token_files)}
+    f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_language_id, op9_token_files)}
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
