@@ -8,7 +8,8 @@
    sample, brought to length 1. Sums are of whole numbers and are made by Spark, so the vectors do
    not depend on how the sample is partitioned.
 3. A document is pooled over all its tokens: mean and spread of their vectors, and the mean product
-   of neighbouring vectors, which tells repetition from prose.
+   of neighbouring vectors. Dense random sign vectors, drawn from each token itself and pooled the
+   same way, tell how often tokens repeat at distances of one to three and over the whole text.
 4. A network of two layers (numpy, Adam) learns the label from the pooled sample; one fifth of the
    sample is held back to fit the temperature that calibrates its probabilities.
 
@@ -51,6 +52,8 @@ class Settings:
     seed: int = 17
 
 
+#: Rare tokens of a shape are told apart by so many hash values, and by sign vectors of so many entries.
+HASHES, SIGNS, LAGS = 512, 16, 3
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Stand-ins for rare tokens, by shape; their names can't be tokens of a text.
 SHAPES = ("shape upper", "shape lower", "shape title", "shape number", "shape sign", "shape other")
@@ -76,11 +79,16 @@ def index_vector(token: str, s: Settings) -> np.ndarray:
 
 
 class Vocabulary:
-    """Token to row number; the rows after the words are the shapes."""
+    """Token to row number; after the words come the shapes, each with HASHES rows."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: list[str], seed: int = 0) -> None:
         self.words = words
         self.row = {w: i for i, w in enumerate(words)}
+        n = len(words)
+        #: Of every row, the word or shape whose vector it has.
+        self.base = np.concatenate([np.arange(n), n + np.repeat(np.arange(len(SHAPES)), HASHES)])
+        rng = np.random.default_rng(seed)
+        self.signs = (rng.integers(0, 2, (len(self.base), SIGNS)) * 2 - 1).astype(np.float32) / SIGNS**0.5
 
     def __len__(self) -> int:
         return len(self.words) + len(SHAPES)
@@ -89,24 +97,35 @@ class Vocabulary:
         tokens = TOKEN.findall(text) if text else []
         n = len(self.words)
         get = self.row.get
-        return np.array([r if (r := get(t)) is not None else n + shape_of(t) for t in tokens], np.int64)
+        return np.array([r if (r := get(t)) is not None else
+                         n + shape_of(t) * HASHES + zlib.crc32(t.encode("utf-8", "surrogatepass")) % HASHES
+                         for t in tokens], np.int64)
 
 
-def pooled(rows: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean, spread and neighbour product of the vectors at ``rows``."""
+def pooled(rows: np.ndarray, vocabulary: Vocabulary, vectors: np.ndarray) -> np.ndarray:
+    """Mean, spread and neighbour product of the vectors of ``rows``, and how tokens repeat."""
     dims = vectors.shape[1]
     if not len(rows):
-        return np.zeros(3 * dims, np.float32)
+        return np.zeros(3 * dims + LAGS + 1, np.float32)
     mean, square, product = np.zeros(dims), np.zeros(dims), np.zeros(dims)
-    for i in range(0, len(rows), 20_000):  # very long texts in parts
-        v = vectors[rows[i:i + 20_001]]
-        own = v[:20_000]
+    sign, repeats = np.zeros(SIGNS), np.zeros(LAGS)
+    step = 20_000
+    for i in range(0, len(rows), step):  # very long texts in parts, with the next part's first rows
+        part = rows[i:i + step + LAGS]
+        v, q = vectors[vocabulary.base[part[:step + 1]]], vocabulary.signs[part]
+        own = v[:step]
         mean += own.sum(0)
         square += np.einsum("ij,ij->j", own, own)
         product += np.einsum("ij,ij->j", v[:-1], v[1:])
+        sign += q[:step].sum(0)
+        for k in range(1, LAGS + 1):
+            near = q[k:step + k]
+            repeats[k - 1] += np.einsum("ij,ij->", q[: len(near)], near)
     mean /= len(rows)
     spread = np.sqrt(np.maximum(square / len(rows) - mean**2, 0))
-    return np.concatenate([mean, spread, product / max(1, len(rows) - 1)]).astype(np.float32)
+    return np.concatenate([
+        mean, spread, product / max(1, len(rows) - 1), repeats / np.maximum(1, len(rows) - np.arange(1, LAGS + 1)),
+        [np.sum((sign / len(rows)) ** 2)]]).astype(np.float32)
 
 
 @dataclass
@@ -173,7 +192,7 @@ class QualityModel:
         self.vocabulary, self.vectors, self.network = vocabulary, vectors, network
 
     def pool(self, texts: pd.Series) -> np.ndarray:
-        return np.stack([pooled(self.vocabulary.rows(t), self.vectors) for t in texts])
+        return np.stack([pooled(self.vocabulary.rows(t), self.vocabulary, self.vectors) for t in texts])
 
     def score(self, texts: pd.Series) -> np.ndarray:
         return np.full(len(texts), 0.5) if self.network is None else self.network.probability(self.pool(texts))
@@ -211,14 +230,14 @@ def _fit(sample: DataFrame, s: Settings) -> QualityModel:
     words = [r["token"] for r in sample.select("text").mapInPandas(count, "token string, n long")
              .groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
              .orderBy(F.desc("n"), "token").limit(s.vocabulary).collect()]
-    vocabulary = Vocabulary(words)
+    vocabulary = Vocabulary(words, s.seed)
     index = np.stack([index_vector(w, s) for w in [*words, *SHAPES]])
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(vocabulary), s.dims), np.int64)
         for pdf in slices(batches):
             for t in pdf["text"]:
-                rows = vocabulary.rows(t)
+                rows = vocabulary.base[vocabulary.rows(t)]
                 for k in range(1, s.window + 1):
                     np.add.at(total, rows[:-k], index[rows[k:]])
                     np.add.at(total, rows[k:], index[rows[:-k]])
