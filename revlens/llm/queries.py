@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import langid, packing, quality, token_files
+from revlens.llm import binary_codes, langid, packing, quality, token_files, wrappers
 from revlens.llm.common import fold, table
 
 
@@ -33,6 +33,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(packing.with_lengths(table(spark, sf_dir, "documents")))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +49,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_language_id, op9_token_files)}
+    f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_language_id, op6_embedding_dedup,
+                               op8_wrapper_extraction, op9_token_files)}
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
