@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import binary_codes, langid, packing, quality, token_files, wrappers
+from revlens.llm import binary_codes, count_rtree, langid, packing, quality, token_files, wrappers
 from revlens.llm.common import fold, table
 
 
@@ -48,8 +48,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_rtree.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_language_id, op6_embedding_dedup,
-                               op8_wrapper_extraction, op9_token_files)}
+                               op8_wrapper_extraction, op9_token_files, op10_ngram_jaccard)}
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}

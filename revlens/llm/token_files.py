@@ -19,11 +19,14 @@ are read, so lost executors and repeated attempts leave no wrong rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,23 +37,26 @@ from pyspark.sql import functions as F
 from revlens.llm.common import NO_ID, bound_batches, known_id, null_id, run_folder, shuffle_width, slices, store_at
 
 #: Bounds of the per-worker cache of encoded pieces; it is emptied beyond them.
-CACHE_PIECES, CACHE_CHARS = 300_000, 6_000_000
+CACHE_PIECES, CACHE_CHARS = 1_000_000, 16_000_000
 #: Characters encoded at once while a shard is written.
 SLICE_CHARS = 1_000_000
+SPACE = re.compile(r"(?<=\S)(?= \S)")
+LETTERS_END = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])")
+#: White space other than the space and the line feed.
+RARE_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B)))
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_ids long"
 
 
 class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer, each distinct piece of text once.
 
-    A text is cut before every single space that stands between two other characters. The
-    tokenizer's own splitting always starts a new word there, so the ids of the pieces, put
-    together, are the ids of the text.
+    A text is cut before every single space that stands between two other characters, and a piece
+    further after every run of letters. The tokenizer's own splitting always begins a new word
+    there, so the ids of the pieces, put together, are the ids of the text.
     """
 
     def __init__(self, tokenizer_path: str, cache_pieces: int = CACHE_PIECES) -> None:
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -58,44 +64,86 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache_pieces = cache_pieces
-        self.irregular = re.compile(r"\s\s|\A\s|\s\Z|\x00")
-        self.boundary = re.compile(r"(?<=\S)(?= \S)")
+        with open(tokenizer_path, encoding="utf-8") as f:
+            parts = json.load(f)
+        before = parts.get("pre_tokenizer") or {}
+        #: Then a word of letters goes to the model as it is, each byte as its printable character.
+        self.plain = parts.get("normalizer") is None and before.get("type") == "ByteLevel" and \
+            not before.get("add_prefix_space") and parts["model"]["type"] == "BPE"
+        self.printable = byte_characters()
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.first, self.chars = array(self.dtype.char), array("q", [0]), 0
 
-    def pieces(self, text: str) -> list[str]:
-        if self.irregular.search(text):
-            return self.boundary.split(text)
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a text, each with the space before it."""
+        if ("  " in text or "\n " in text or " \n" in text or "\x00" in text or text[:1].isspace()
+                or text[-1:].isspace() or any(c in text for c in RARE_SPACES)):
+            return SPACE.split(text)
         return text.replace(" ", "\x00 ").split("\x00")
 
+    def ids_of(self, piece: str) -> list[int]:
+        if self.plain and (piece[1:] if piece[0] == " " else piece).isalpha():
+            if not piece.isascii():
+                piece = piece.encode("utf-8").decode("latin-1")
+            return [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.printable))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces the cache doesn't have."""
+        place, flat = self.place, self.flat
+        for piece in pieces:
+            parts = LETTERS_END.split(piece) if len(piece) > 1 and not piece[1:].isalpha() else [piece]
+            for part in parts:
+                if part not in place and len(parts) > 1:
+                    flat.extend(self.ids_of(part))
+                    self._add(part)
+            if len(parts) == 1 and piece not in place:
+                flat.extend(self.ids_of(piece))
+                self._add(piece)
+            elif len(parts) > 1:
+                for part in parts:
+                    k = place[part]
+                    flat.extend(flat[self.first[k]:self.first[k + 1]])
+                self._add(piece)
+
+    def _add(self, piece: str) -> None:
+        self.place[piece] = len(self.first) - 1
+        self.first.append(len(self.flat))
+        self.chars += len(piece)
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text, its end included."""
         if len(self.place) > self.cache_pieces or self.chars > CACHE_CHARS:
             self.forget()
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.place]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.place[p] = len(self.first) - 1
-            self.flat.extend(e.ids)
-            self.first.append(len(self.flat))
-            self.chars += len(p)
+        cut = [self.cut(t) if t else [] for t in texts]
         of_text = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter((self.place[p] for c in cut for p in c), np.int64, int(of_text.sum()))
+        pieces = list(chain.from_iterable(cut))
+        self.learn(set(pieces).difference(self.place))
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
         first = np.frombuffer(self.first, np.int64)
         size = np.diff(first)[at]
         begin = np.concatenate(([0], size.cumsum()))
-        # Position of every id in the output: pieces shifted by one end id per text before them.
-        text_of = np.repeat(np.arange(len(cut)), of_text)
+        # Every text's ids move on by one end id for each text before it.
         out = np.full(int(begin[-1]) + len(cut), end_id, self.dtype)
         source = np.repeat(first[at] - begin[:-1], size) + np.arange(begin[-1])
-        out[np.arange(begin[-1]) + np.repeat(text_of, size)] = np.frombuffer(self.flat, self.dtype)[source]
         ends = begin[np.concatenate(([0], of_text.cumsum()))]
+        body = np.ones(len(out), bool)
+        body[ends[1:] + np.arange(len(cut))] = False
+        out[body] = np.frombuffer(self.flat, self.dtype)[source]
         return out, np.diff(ends) + 1
 
 
+def byte_characters() -> dict[int, str]:
+    """The printable character of every byte in byte-level vocabularies: itself where it is
+    printable, else the next free one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0,
                       shards: int | None = None) -> DataFrame:
     """Write the token files of ``docs`` (doc_id, text) into ``folder``; returns the manifest with
