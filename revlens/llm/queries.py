@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import binary_codes, count_rtree, langid, packing, quality, token_files, wrappers
+from revlens.llm import binary_codes, count_rtree, decontam, langid, packing, quality, token_files, wrappers
 from revlens.llm.common import fold, table
 
 
@@ -29,6 +29,12 @@ def _held_out(n: int, remainder: int) -> Column:
     return F.coalesce(fold(F.col("doc_id"), n) == remainder, F.lit(False)).alias("held_out")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                table(spark, sf_dir, "benchmark"))
+    return leaks.drop("doc")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(packing.with_lengths(table(spark, sf_dir, "documents")))
 
@@ -53,7 +59,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_language_id, op6_embedding_dedup,
+    f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op6_embedding_dedup,
                                op8_wrapper_extraction, op9_token_files, op10_ngram_jaccard)}
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
