@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import binary_codes, count_rtree, decontam, langid, packing, quality, token_files, wrappers
+from revlens.llm import binary_codes, count_rtree, decontam, langid, packing, patience, quality, token_files, wrappers
 from revlens.llm.common import fold, table
 
 
@@ -43,6 +43,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patience.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -60,6 +64,6 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op6_embedding_dedup,
-                               op8_wrapper_extraction, op9_token_files, op10_ngram_jaccard)}
+                               op7_license_scan, op8_wrapper_extraction, op9_token_files, op10_ngram_jaccard)}
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}

@@ -26,7 +26,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,99 +40,71 @@ CACHE_PIECES, CACHE_CHARS = 1_000_000, 16_000_000
 #: Characters encoded at once while a shard is written.
 SLICE_CHARS = 1_000_000
 SPACE = re.compile(r"(?<=\S)(?= \S)")
-LETTERS_END = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])")
+LETTERS_END = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])|(?<=\n)(?=[^\W\d_])")
 #: White space other than the space and the line feed.
-RARE_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
-    map(chr, range(0x2000, 0x200B)))
+RARE_SPACE = re.compile(r"[^\S \n]")
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_ids long"
 
 
-class PieceEncoder:
+class PieceEncoder(dict):
     """Encodes texts with a byte-level BPE tokenizer, each distinct piece of text once.
 
     A text is cut before every single space that stands between two other characters, and a piece
-    further after every run of letters. The tokenizer's own splitting always begins a new word
-    there, so the ids of the pieces, put together, are the ids of the text.
+    further after every run of letters and between a line feed and a letter. The tokenizer's own splitting always begins a new word
+    there, so the ids of the pieces, put together, are the ids of the text. The mapping itself is
+    the cache: piece to its ids as bytes.
     """
 
     def __init__(self, tokenizer_path: str, cache_pieces: int = CACHE_PIECES) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache_pieces = cache_pieces
+        self.cache_pieces, self.chars = cache_pieces, 0
         with open(tokenizer_path, encoding="utf-8") as f:
             parts = json.load(f)
         before = parts.get("pre_tokenizer") or {}
         #: Then a word of letters goes to the model as it is, each byte as its printable character.
         self.plain = parts.get("normalizer") is None and before.get("type") == "ByteLevel" and \
             not before.get("add_prefix_space") and parts["model"]["type"] == "BPE"
+        self.model = self.tokenizer.model
         self.printable = byte_characters()
-        self.forget()
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.first, self.chars = array(self.dtype.char), array("q", [0]), 0
-
-    def cut(self, text: str) -> list[str]:
-        """Pieces of a text, each with the space before it."""
-        if ("  " in text or "\n " in text or " \n" in text or "\x00" in text or text[:1].isspace()
-                or text[-1:].isspace() or any(c in text for c in RARE_SPACES)):
-            return SPACE.split(text)
-        return text.replace(" ", "\x00 ").split("\x00")
-
-    def ids_of(self, piece: str) -> list[int]:
-        if self.plain and (piece[1:] if piece[0] == " " else piece).isalpha():
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > self.cache_pieces or self.chars > CACHE_CHARS:
+            self.clear()
+            self.chars = 0
+        letters = piece[1:] if piece[0] == " " else piece
+        if letters.isalpha() and self.plain:
             if not piece.isascii():
-                piece = piece.encode("utf-8").decode("latin-1")
-            return [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.printable))]
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces the cache doesn't have."""
-        place, flat = self.place, self.flat
-        for piece in pieces:
-            parts = LETTERS_END.split(piece) if len(piece) > 1 and not piece[1:].isalpha() else [piece]
-            for part in parts:
-                if part not in place and len(parts) > 1:
-                    flat.extend(self.ids_of(part))
-                    self._add(part)
-            if len(parts) == 1 and piece not in place:
-                flat.extend(self.ids_of(piece))
-                self._add(piece)
-            elif len(parts) > 1:
-                for part in parts:
-                    k = place[part]
-                    flat.extend(flat[self.first[k]:self.first[k + 1]])
-                self._add(piece)
-
-    def _add(self, piece: str) -> None:
-        self.place[piece] = len(self.first) - 1
-        self.first.append(len(self.flat))
+                piece_bytes = piece.encode("utf-8").decode("latin-1").translate(self.printable)
+            else:
+                piece_bytes = piece if letters is piece else "\u0120" + letters
+            ids = [t.id for t in self.model.tokenize(piece_bytes)]
+        else:
+            parts = LETTERS_END.split(piece)
+            if len(parts) > 1:
+                found = b"".join([self[p] for p in parts])
+                self[piece] = found
+                self.chars += len(piece)
+                return found
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        found = array(self.dtype.char, ids).tobytes()
+        self[piece] = found
         self.chars += len(piece)
+        return found
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of ids of each text, its end included."""
-        if len(self.place) > self.cache_pieces or self.chars > CACHE_CHARS:
-            self.forget()
-        cut = [self.cut(t) if t else [] for t in texts]
-        of_text = np.fromiter(map(len, cut), np.int64, len(cut))
-        pieces = list(chain.from_iterable(cut))
-        self.learn(set(pieces).difference(self.place))
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        first = np.frombuffer(self.first, np.int64)
-        size = np.diff(first)[at]
-        begin = np.concatenate(([0], size.cumsum()))
-        # Every text's ids move on by one end id for each text before it.
-        out = np.full(int(begin[-1]) + len(cut), end_id, self.dtype)
-        source = np.repeat(first[at] - begin[:-1], size) + np.arange(begin[-1])
-        ends = begin[np.concatenate(([0], of_text.cumsum()))]
-        body = np.ones(len(out), bool)
-        body[ends[1:] + np.arange(len(cut))] = False
-        out[body] = np.frombuffer(self.flat, self.dtype)[source]
-        return out, np.diff(ends) + 1
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as bytes of ``dtype``."""
+        if not text:
+            return b""
+        if ("  " in text or "\n " in text or " \n" in text or "\x00" in text or text[0].isspace()
+                or text[-1].isspace() or RARE_SPACE.search(text)):
+            return b"".join(map(self.__getitem__, SPACE.split(text)))
+        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
 
 
 def byte_characters() -> dict[int, str]:
@@ -162,8 +133,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         for pdf in slices(batches, chars=SLICE_CHARS):
             if encoder is None:
                 encoder, out = _encoder(tokenizer_path), store.open_output_stream(ids_path)
-            ids, sizes = encoder.encode(pdf["text"].fillna("").tolist(), end_id)
-            out.write(ids.tobytes())
+                end = np.array([end_id], encoder.dtype).tobytes()
+            ids = [encoder.encode(t) + end for t in pdf["text"]]
+            out.write(b"".join(ids))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // encoder.dtype.itemsize
             start = n_ids + np.concatenate(([0], sizes.cumsum()))
             ids_of = pdf["doc_id"].to_numpy().astype("<i8")
             rows.append(np.stack([ids_of, (ids_of != NO_ID).astype("<i8"), start[:-1].astype("<i8")], axis=1))
