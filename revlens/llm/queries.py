@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import binary_codes, count_rtree, decontam, langid, packing, patience, quality, token_files, wrappers
+from revlens.llm import binary_codes, count_rtree, decontam, katz, langid, packing, patience, quality, token_files, wrappers
 from revlens.llm.common import fold, table
 
 
@@ -39,6 +39,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(packing.with_lengths(table(spark, sf_dir, "documents")))
 
 
+def op5_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.katz_scores(docs.select("*", (fold(F.col("doc_id"), 10) != 0).alias("learn"), _held_out(10, 0)))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_codes.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -63,7 +68,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op6_embedding_dedup,
+    f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op5_katz_lm, op6_embedding_dedup,
                                op7_license_scan, op8_wrapper_extraction, op9_token_files, op10_ngram_jaccard)}
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
