@@ -1,26 +1,65 @@
 """A training-data pipeline over ``documents``.
 
 ``STAGES`` lists its (name, function) stages; each takes (spark, docs, sf_dir) and returns what it
-keeps. ``run`` writes every stage's rows as Parquet into the shared folder and rereads them as the
-next one's input, so a stage is never computed twice and lost executors cost one stage at most.
+keeps, with the columns of ``documents``; the last returns the bins. ``run`` writes every stage's
+rows as Parquet into the shared folder and rereads them as the next one's input, so a stage is never
+computed twice and a lost executor costs one stage at most.
+
+Nulls and odd rows: a null text is scored as an empty one by the quality stage, has no language and
+so goes in the second stage; rows without a doc_id are nobody's copy and stay in the third; rows
+that repeat id and text are one document there; empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from revlens.llm import packing
-from revlens.llm.common import stored, table
+from revlens.llm import count_rtree, decontam, langid, packing, quality
+from revlens.llm.common import fold, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near-duplicates here: shingles of five words, Jaccard similarity of 0.8 or more.
+NEAR = count_rtree.Settings(k=5, num=80, den=100)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier (operator 1) accepts."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return quality.keep_good(docs.select(*COLUMNS), model)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which half the letters or more are of one learned language (operator 4)."""
+    model = langid.fit(docs, fold(F.col("doc_id"), 3) != 1)
+    return langid.keep_known(docs.select(*COLUMNS), model)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates (operator 10)."""
+    docs = docs.select(*COLUMNS)
+    groups = count_rtree.jaccard_components(docs, NEAR)
+    copies = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(copies, "doc_id", "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.take(1):
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+
+
+def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage (operator 2)."""
+    return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of all documents left, by constrained best fit (operator 3)."""
     return packing.best_fit_pack(packing.with_lengths(docs))
 
 
-STAGES = [("pack", pack)]
+STAGES = [("quality", good_quality), ("language", known_language), ("near_duplicates", one_of_each),
+          ("decontamination", not_leaked), ("packing", packed)]
 
 #: The learned models and hashes of the stages have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
