@@ -21,7 +21,8 @@ links, and for the components one link per class to the smallest class it reache
 Defined results: rows with a null label, or a vector that is null, empty, zero or holds null or
 non-finite components, have no links and are their own component; vectors of other lengths than the
 query's dimension are not compared with it; a null vec_id is treated as an id below all others;
-repeated rows are links of one another; an empty table gives no rows.
+repeated rows are links of one another; different vectors under one vec_id are one node, whose links
+are counted together; an empty table gives no rows.
 """
 
 from __future__ import annotations

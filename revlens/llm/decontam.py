@@ -23,6 +23,7 @@ repeated with id and text are one document; empty tables give no rows; other col
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -142,5 +143,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None)
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with their own columns."""
-    leaks = find_leaks(docs, benchmark, s).select(F.col("doc").alias("leak_key")).distinct()
-    return docs.join(leaks, document_key() == F.col("leak_key"), "left_anti")
+    key = f"leak-{uuid.uuid4().hex}"  # clashes with no column of docs
+    leaks = find_leaks(docs, benchmark, s).select(F.col("doc").alias(key)).distinct()
+    return docs.join(leaks, document_key() == F.col(f"`{key}`"), "left_anti")

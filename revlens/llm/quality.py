@@ -225,7 +225,8 @@ def _fit(sample: DataFrame, s: Settings) -> QualityModel:
         for pdf in batches:
             for t in pdf["text"].dropna():
                 met.update(TOKEN.findall(t))
-        yield pd.DataFrame({"token": list(met), "n": list(met.values())})
+        if met:
+            yield pd.DataFrame({"token": list(met), "n": list(met.values())})
 
     words = [r["token"] for r in sample.select("text").mapInPandas(count, "token string, n long")
              .groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
