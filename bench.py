@@ -22,7 +22,9 @@ def main() -> None:
     from revlens.registry import QUERIES
     from revlens.session import build_session
 
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    # the bench tables are single files: deal their rows out to all cores
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+                          extra={"spark.revlens.spread": cpus})
     QUERIES["triage_partition"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     timings: dict[str, float] = {}
     errors: dict[str, str] = {}

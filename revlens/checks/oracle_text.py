@@ -100,7 +100,9 @@ ANSWERS_CTE = ("answers", f"""
                           WHEN 1 THEN '```json' || chr(10) || payload || chr(10) || '```'
                           WHEN 2 THEN 'Here is my review.' || chr(10) || '```json' || chr(10) || payload
                                       || chr(10) || '```' || chr(10) || 'Done.'
-                          ELSE substr(payload, 1, 40) END AS raw
+                          ELSE CASE WHEN o % 20 = 3 THEN left(payload, length(payload) - 1)
+                               ELSE left(payload, length(payload) - 1) || chr(10) || '```json' || chr(10) || payload
+                                    || chr(10) || '```' END END AS raw
         FROM (SELECT l_orderkey * 10 + l_linenumber AS task_id, l_orderkey AS o,
                      '{{"findings":[' || string_agg(
                        '{{"category":"' || CASE WHEN l_partkey % 17 = 0 THEN 'bogus'

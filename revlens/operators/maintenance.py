@@ -171,11 +171,13 @@ def validate_generic(df: DataFrame, table: str) -> DataFrame:
 
 
 def merge_meta(df: DataFrame, updates: dict[str, Column], col: str = "metadata") -> DataFrame:
-    """Merge keys into a flat JSON object column (new keys win)."""
-    base = F.from_json(F.coalesce(F.col(col), F.lit("{}")), "map<string,string>")
-    add = F.create_map(*[x for k, v in updates.items() for x in (F.lit(k), v.cast("string"))])
-    merged = F.map_filter(F.map_concat(F.map_filter(base, lambda k, v: ~k.isin(*updates)), add),
-                          lambda k, v: v.isNotNull())
+    """Merge keys into a JSON object column.  New keys win; a NULL update
+    leaves its key as it is.  Values stay what they are: nested objects,
+    numbers, booleans and explicit nulls are carried as variants."""
+    base = F.from_json(F.coalesce(F.col(col), F.lit("{}")), "map<string,variant>")
+    add = F.map_filter(F.create_map(*[x for k, v in updates.items() for x in (F.lit(k), v.cast("variant"))]),
+                       lambda k, v: v.isNotNull())
+    merged = F.map_concat(F.map_filter(base, lambda k, v: ~F.coalesce(F.map_contains_key(add, k), F.lit(False))), add)
     return df.withColumn(col, F.to_json(merged))
 
 
@@ -187,7 +189,8 @@ def soft_delete(prs: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
     now = F.coalesce(F.col("_req"), F.lit(False)) & F.col("deleted_at").isNull()
     missed = F.coalesce(F.col("_req"), F.lit(False)) & F.col("deleted_at").isNotNull()
     return (d.withColumn("outcome", F.when(now, "deleted").when(missed, "missed"))
-             .withColumn("deleted_at", F.when(now, as_of).otherwise(F.col("deleted_at")))
+             .withColumns({"deleted_at": F.when(now, as_of).otherwise(F.col("deleted_at")),
+                           "updated_at": F.when(now, as_of).otherwise(F.col("updated_at"))})
              .drop("_req"))
 
 

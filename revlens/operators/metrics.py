@@ -9,7 +9,7 @@ the newest timestamp of the table), never the wall clock.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SEVERITIES
@@ -188,16 +188,25 @@ def latency_p95(runs: DataFrame, sizes: DataFrame, p: float = 0.95) -> DataFrame
     s = sizes.select(F.col("pull_request_id").alias("id"),
                      F.when((F.col("changed_lines") < 200) & (F.col("changed_functions") < 10), "median_pr")
                      .otherwise("large_pr").alias("size_class"))
-    return d.join(s, "id").groupBy("size_class").agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.percentile(F.col("duration_s").cast("double"), p).alias("p95_duration_s"))
+    # counts per (class, second), then positions by a running sum over that small table:
+    # exact, and no class's durations are held in one buffer
+    n = d.join(s, "id").filter(F.col("duration_s").isNotNull()).groupBy("size_class", "duration_s") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("size_class")
+    n = n.withColumn("upto", F.sum("n").over(w.orderBy("duration_s"))).withColumn("runs", F.sum("n").over(w))
+    at = (F.col("runs") - 1) * p
+    value = lambda place: F.min(F.when(F.col("upto") > place, F.col("duration_s")))
+    return n.groupBy("size_class", "runs").agg(
+        value(F.floor(at)).alias("low"), value(F.ceil(at)).alias("high")).select(
+        "size_class", "runs", (F.col("low") + (F.col("high") - F.col("low")) * (
+            (F.col("runs") - 1) * p - F.floor((F.col("runs") - 1) * p))).alias("p95_duration_s"))
 
 
 def presumed_true_positives(prs: DataFrame, findings: DataFrame, events: DataFrame) -> DataFrame:
-    """Posted findings on merged PRs that never got a thumbs_down, per repo."""
+    """Findings on merged PRs that never got a thumbs_down, per repo."""
     merged = prs.filter(F.col("state") == "merged").select(F.col("id").alias("pull_request_id"))
     down = events.filter(F.col("event_type") == "thumbs_down").select(F.col("finding_id").alias("id"))
-    f = findings.filter(F.col("posted_at").isNotNull()).join(merged, "pull_request_id", "left_semi") \
+    f = findings.join(merged, "pull_request_id", "left_semi") \
         .join(down, "id", "left_anti")
     return f.groupBy("repo_full_name").agg(F.count(F.lit(1)).alias("presumed_tp"))
 

@@ -9,15 +9,16 @@ and materialises text last, each section cut to its allocation.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BYTES_PER_TOKEN, DEFAULT, ReviewConfig
+from ..config import BYTES_PER_TOKEN, DEFAULT, MODEL_BUDGETS, ReviewConfig
 from ..functions.hashing import prompt_hash
 from ..functions.scoring import (budget_total, language_of, model_budget, path_risk, risk_score,
                                  route_model, task_types, token_budget, token_count)
 from ..functions.text import TRUNCATED_MARKER
 from ..operators import code_index as X
+from ..operators.windows import keyed_running_sum
 from ..sources.synth import file_lines
 
 NUL = "\x00"
@@ -102,27 +103,31 @@ def truncate_to_tokens(text: Column, tokens: Column) -> Column:
     max_bytes = F.floor(tokens * F.lit(BYTES_PER_TOKEN)).cast("int")
     fits = F.octet_length(text) <= max_bytes
     # one byte more than the bound: a line ending exactly at the bound keeps its newline
-    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, F.greatest(max_bytes, F.lit(0)) + 1), "UTF-8")
+    room = F.greatest(max_bytes, F.lit(0))
+    cut = _utf8_prefix(text, room + 1)
     prefix = F.regexp_replace(cut, r"\n[^\n]*$", "")
-    prefix = F.when(F.instr(cut, "\n") == 0, F.lit("")).otherwise(prefix)
+    # not even the first line fits: it is cut at the bound, at a character
+    prefix = F.when(F.instr(cut, "\n") == 0, F.regexp_replace(_utf8_prefix(text, room), "\uFFFD+$", "")) \
+        .otherwise(prefix)
     return F.when(text.isNull(), F.lit(None)).when(fits, text).otherwise(prefix)
 
 
+def _utf8_prefix(text: Column, n_bytes: Column) -> Column:
+    """The first bytes of a text; a character cut in two becomes U+FFFD."""
+    return F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n_bytes).cast("string"))
+
+
 def pack_lines(lines: DataFrame, group: list[str], order: list[str], text: str, cap: Column,
-               max_lines: int = 16000) -> DataFrame:
-    """Keep lines while the running token estimate of the joined prefix
-    stays under ``cap``.
-
-    Every line costs at least one token, so no group keeps more than ``cap``
-    lines; ``row_number() <= cap_limit`` lets Spark pre-limit each group
-    before the shuffle (window group limit), then the exact running sum runs
-    on the survivors.
+               bucket: Column) -> DataFrame:
+    """Every line with its running token estimate and whether the joined
+    prefix up to it stays under ``cap`` (``kept``).
+
+    ``bucket`` must not decrease along ``order`` inside a group: the running
+    sum goes bucket by bucket, so a group of any length is spread over tasks.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    d = lines.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_lines).drop("_rn")
-    d = d.withColumn("_cap", cap).withColumn("_bytes", F.octet_length(text) + 1)
-    d = d.withColumn("_cum", F.sum("_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    d = d.withColumn("running_tokens", F.ceil(F.col("_cum") / F.lit(BYTES_PER_TOKEN)).cast("bigint"))
+    d = lines.withColumn("_cap", cap).withColumn("_bytes", F.octet_length(text) + 1)
+    d = keyed_running_sum(d, group, [F.col(c) for c in order], F.col("_bytes"), bucket, "_cum")
+    d = d.withColumn("running_tokens", F.ceil((F.col("_cum") - 1) / F.lit(BYTES_PER_TOKEN)).cast("bigint"))
     return d.withColumn("kept", F.coalesce(F.col("running_tokens") <= F.col("_cap"), F.lit(True))) \
         .drop("_bytes", "_cum", "_cap")
 
@@ -162,18 +167,21 @@ def build_slices(ix: Index, tasks: DataFrame, cfg: ReviewConfig = DEFAULT) -> Da
     if cfg.approximate_index == "always":
         appr = F.lit(True)
     t = t.withColumn("budget", token_budget(model_budget("model_id"), F.col("task_type"), appr))
-    total = F.col("budget.diff_hunk") + F.col("budget.call_graph") + F.col("budget.tests")
+    # clamped caps can add up to more than the model's budget, which bounds the whole slice
+    total = F.least(F.col("budget.diff_hunk") + F.col("budget.call_graph") + F.col("budget.tests"),
+                    model_budget("model_id"))
     diff_t = token_count("diff_text")
     cg_t = F.ceil(F.coalesce(F.col("cg_bytes"), F.lit(0)) / F.lit(BYTES_PER_TOKEN)).cast("bigint")
     test_t = token_count("test_text")
     t = t.withColumn("alloc", allocate(diff_t, cg_t, test_t, F.col("budget.diff_hunk"),
                                        F.col("budget.call_graph"), F.col("budget.tests"), total))
     # call-graph text: running tokens depend only on the symbol's reference
-    # list, not on the task, so lines are packed once per symbol (window
-    # pre-limited to the largest possible cap) and each task keeps the prefix
-    # under its own allocation, row-locally.
+    # list, not on the task, so lines are packed once per PR and symbol and
+    # each task keeps the prefix under its own allocation, row-locally. Lines
+    # beyond the largest model budget are in no task's prefix.
     packed = pack_lines(refs, ["pull_request_id", "path", "symbol"], ["importer", "line_no"], "ref",
-                        F.lit(None).cast("bigint"))
+                        F.lit(None).cast("bigint"), F.col("importer")) \
+        .filter(F.col("running_tokens") <= max(MODEL_BUDGETS.values()))
     ranked = packed.groupBy("pull_request_id", "path", "symbol").agg(
         F.array_sort(F.collect_list(F.struct("running_tokens", "importer", "line_no", "ref"))).alias("_refs"))
     t = t.join(ranked, ["pull_request_id", "path", "symbol"], "left")

@@ -185,11 +185,19 @@ def q_validate(spark, d):
 
 @entry("metadata_merge")
 def q_meta(spark, d):
-    """Failed runs get their error merged into metadata."""
+    """Failed runs, whose metadata also holds nested values here, get their error merged in."""
     r = views(spark, d).pipeline_runs.filter(F.col("status") == "failed")
-    m = M.merge_meta(r, {"failure_reason": F.col("error")})
-    return m.select("id", F.get_json_object("metadata", "$.config").alias("config"),
-                    F.get_json_object("metadata", "$.failure_reason").alias("failure_reason"))
+    nested = F.concat(F.regexp_replace("metadata", r"\}$", ""), F.lit(',"slice":{"diff":'), F.col("id").cast("string"),
+                      F.lit(',"on":true},"n":5,"note":null,"failure_reason":"none"}'))
+    m = M.merge_meta(r.withColumn("metadata", nested), {"failure_reason": F.col("error")})
+    return m.select("id", "metadata")
+
+
+@entry("events_without_finding")
+def q_event_rejects(spark, d):
+    """Events that belong to no finding: the rows ``finding_events`` can't hold."""
+    from .sources.views import events_without_finding
+    return events_without_finding(spark, d, views(spark, d).findings)
 
 
 @entry("comment_outbox")
@@ -311,7 +319,7 @@ def q_soft_delete(spark, d):
     p = views(spark, d).pull_requests
     ids = p.filter(F.col("state") == "closed").select("id")
     out = M.soft_delete(p, ids, D.newest(p))
-    return out.select("id", "deleted_at", "outcome")
+    return out.select("id", "deleted_at", "updated_at", "outcome")
 
 
 @entry("update_task_status")
@@ -779,7 +787,7 @@ def q_e7(spark, d):
     from .plans.planner import pack_lines
     docs = views(spark, d).table("documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    p = pack_lines(lines, ["doc_id"], ["pos"], "line", F.lit(512))
+    p = pack_lines(lines, ["doc_id"], ["pos"], "line", F.lit(512), F.floor(F.col("pos") / 4096))
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("kept").alias("kept_lines"),
                                    F.max(F.when(F.col("kept"), F.col("running_tokens"))).alias("kept_tokens"))
 

@@ -16,7 +16,7 @@ out of DuckDB for the oracle.  Layout rules:
   ``1+(3*floor(qty))%60`` with ``2*linenumber`` lines (count omitted when the
   line number is a multiple of 4);
 * the answer of task (o, linenumber) is a JSON findings list, raw, fenced,
-  after prose, or broken, by ``o%4``.
+  after prose, or unclosed and sent again, by ``o%4``.
 """
 
 from __future__ import annotations
@@ -163,7 +163,8 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw model answer per review task: task_id, raw, completion tokens.
 
     Each line item of the task is one finding object; answers come as raw
-    JSON (o%4=0), fenced (1), prose then fence (2) or cut off (3)."""
+    JSON (o%4=0), fenced (1), prose then fence (2) or without its last bracket
+    (3); the last kind comes once more, fenced and whole, but for o%20=3."""
     li = read_table(spark, sf_dir, "lineitem")
     ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     c = 1 + (3 * F.floor(F.col("l_quantity"))) % 60
@@ -186,10 +187,12 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = rows.groupBy("task_id", "o").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["obj"]), ",").alias("objs"))
     payload = F.concat(F.lit('{"findings":['), F.col("objs"), F.lit("]}"))
+    unclosed = F.concat(F.lit('{"findings":['), F.col("objs"), F.lit("]"))
     kind = F.col("o") % 4
     raw = (F.when(kind == 0, payload)
            .when(kind == 1, F.concat(F.lit("```json\n"), payload, F.lit("\n```")))
            .when(kind == 2, F.concat(F.lit("Here is my review.\n```json\n"), payload, F.lit("\n```\nDone.")))
-           .otherwise(F.substring(payload, 1, 40)))
+           .when(F.col("o") % 20 == 3, unclosed)
+           .otherwise(F.concat(unclosed, F.lit("\n```json\n"), payload, F.lit("\n```"))))
     return g.select("task_id", (F.col("o")).alias("pull_request_id"), raw.alias("raw"),
                     F.ceil(F.octet_length(raw) / F.lit(3.33)).cast("bigint").alias("completion_tokens"))

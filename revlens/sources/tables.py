@@ -25,20 +25,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Guard against under-split inputs (one file, one row group -> one task).
-
-    When the scan yields fewer splits than the cluster has task slots, the
-    rows are hash-spread over ``defaultParallelism`` partitions by their
-    leading (key) column so the row-local work (hashing, string building)
-    uses every core.  Hash placement is deterministic, so a retried task
-    rebuilds exactly its rows (round-robin would need a sort first).  On a
-    large input the scan already has thousands of splits and this is a no-op.
-    Filter pushdown still reaches the scan below it.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, df.columns[0])
-    return df
+    """For local runs over single-file tables: deal the rows out to as many
+    partitions as ``spark.revlens.spread`` says, by all columns that can be
+    hashed.  Unset (the default), the scan is left as it is."""
+    n = int(df.sparkSession.conf.get("spark.revlens.spread", "0"))
+    return df.repartition(n, *[c for c, kind in df.dtypes if not kind.startswith("map")]) if n else df
 
 
 def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -10,9 +10,9 @@ row-local except ``review_tasks`` (one aggregation on the line key) and
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, SEVERITIES, TASK_TYPES
@@ -191,14 +191,30 @@ def finding_events(spark: SparkSession, sf_dir: str, f: DataFrame | None = None)
     many findings costs one row per task before the shuffle.
     """
     f = f if f is not None else findings(spark, sf_dir)
-    return finding_events_from(read_table(spark, sf_dir, "events"), first_findings(f))
+    return finding_events_from(read_table(spark, sf_dir, "events"), first_findings(f), pr_count(spark, sf_dir))
+
+
+def pr_count(spark: SparkSession, sf_dir: str) -> Column:
+    """Size of the range of PR ids, as a scalar subquery."""
+    return read_table(spark, sf_dir, "orders").select(F.max("o_orderkey") + 1).scalar()
+
+
+def events_without_finding(spark: SparkSession, sf_dir: str, f: DataFrame) -> DataFrame:
+    """Events whose PR has no finding: what ``finding_events`` can't attach."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", _event_pr(pr_count(spark, sf_dir)))
+    return ev.join(first_findings(f), "pull_request_id", "left_anti").select("event_id", "pull_request_id")
+
+
+def _event_pr(prs: Column) -> Column:
+    """Five events in a row belong to one PR, spread over the whole range of PR ids."""
+    return (F.floor(F.col("event_id") / 5) * 7 % prs).cast("bigint").alias("pull_request_id")
 
 
 def first_findings(f: DataFrame) -> DataFrame:
     return f.groupBy("pull_request_id").agg(F.min("id").alias("finding_id"))
 
 
-def finding_events_from(ev: DataFrame, first: DataFrame) -> DataFrame:
+def finding_events_from(ev: DataFrame, first: DataFrame, prs: Column) -> DataFrame:
     """Events joined to the first finding of their PR (stream-static join when
     ``ev`` is a stream)."""
     et = None
@@ -206,7 +222,7 @@ def finding_events_from(ev: DataFrame, first: DataFrame) -> DataFrame:
         et = F.when(F.col("event_type") == src, dst) if et is None else et.when(F.col("event_type") == src, dst)
     ev = ev.select(
         F.col("event_id").alias("id"),
-        (F.col("event_id") * 7 % 1000).alias("pull_request_id"),
+        _event_pr(prs),
         et.alias("event_type"),
         F.concat(F.lit("user-"), s(F.col("user_id"))).alias("actor"),
         F.col("ts").alias("created_at"),
@@ -236,21 +252,34 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.pull_requests = pull_requests(spark, sf_dir)
-        self.pipeline_runs = pipeline_runs(spark, sf_dir)
-        self.review_tasks = review_tasks(spark, sf_dir)
-        self.findings = findings(spark, sf_dir)
-        self.finding_events = finding_events(spark, sf_dir, self.findings)
-        self.dismissed_fingerprints = dismissed_fingerprints(spark, sf_dir, self.findings)
 
-    def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+    @cached_property
+    def pull_requests(self) -> DataFrame:
+        return pull_requests(self.spark, self.sf_dir)
 
+    @cached_property
+    def pipeline_runs(self) -> DataFrame:
+        return pipeline_runs(self.spark, self.sf_dir)
 
-@lru_cache(maxsize=8)
-def _cached(spark_id: int, sf_dir: str, spark) -> Views:  # noqa: ARG001
-    return Views(spark, sf_dir)
+    @cached_property
+    def review_tasks(self) -> DataFrame:
+        return review_tasks(self.spark, self.sf_dir)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return findings(self.spark, self.sf_dir)
+
+    @cached_property
+    def finding_events(self) -> DataFrame:
+        return finding_events(self.spark, self.sf_dir, self.findings)
+
+    @cached_property
+    def dismissed_fingerprints(self) -> DataFrame:
+        return dismissed_fingerprints(self.spark, self.sf_dir, self.findings)
+
+    def table(self, name: str) -> DataFrame:
+        return read_table(self.spark, self.sf_dir, name)
 
 
 def views(spark: SparkSession, sf_dir: str) -> Views:
-    return _cached(id(spark), sf_dir, spark)
+    return Views(spark, sf_dir)

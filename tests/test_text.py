@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.text import extract_json
 from revlens.operators import code_index as X
-from revlens.plans.planner import truncate_to_tokens
+from revlens.plans.planner import pack_lines, truncate_to_tokens
 
 
 def test_hunk_header_without_counts_means_one(spark):
@@ -17,9 +17,10 @@ def test_hunk_header_without_counts_means_one(spark):
 
 
 def test_extract_json_whole_then_fence(spark):
-    rows = [('{"findings": []}',), ('Sure.\n```json\n{"findings": [1]}\n```\nbye',), ("no json here",)]
+    rows = [('{"findings": []}',), ('Sure.\n```json\n{"findings": [1]}\n```\nbye',), ("no json here",),
+            ('```json {"findings": [2]} ```',), (None,)]
     got = [r.j for r in spark.createDataFrame(rows, "raw string").select(extract_json("raw").alias("j")).collect()]
-    assert got == ['{"findings": []}', '{"findings": [1]}', None]
+    assert got == ['{"findings": []}', '{"findings": [1]}', "no json here", '{"findings": [2]}', None]
 
 
 def test_truncate_to_whole_lines(spark):
@@ -27,6 +28,16 @@ def test_truncate_to_whole_lines(spark):
     got = [df.select(truncate_to_tokens(F.col("t"), F.lit(n)).alias("x")).first().x for n in (0, 1, 2, 3, 4)]
     # 1 token ~ 3.33 bytes: 1 -> 3 bytes "aaa"; 2 -> 6 bytes; 3 -> 9 bytes "aaa\nbbb"; 4 -> all
     assert got == ["", "aaa", "aaa", "aaa\nbbb", "aaa\nbbb\nccc"]
+    # a first line that doesn't fit is cut at a character
+    one = spark.createDataFrame([("\u00e9\u00e9\u00e9\u00e9 end\nnext",)], "t string")
+    assert one.select(truncate_to_tokens(F.col("t"), F.lit(1)).alias("x")).first().x == "\u00e9"
+
+
+def test_pack_lines_returns_every_line(spark):
+    lines = spark.range(40_000).select(F.lit(1).alias("g"), F.col("id").alias("pos"), F.lit("").alias("line"))
+    got = pack_lines(lines, ["g"], ["pos"], "line", F.lit(16_000), F.floor(F.col("pos") / 4096))
+    r = got.agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"), F.max("running_tokens").alias("t")).first()
+    assert (r.n, r.kept, r.t) == (40_000, 40_000, -(-39_999 * 100 // 333))
 
 
 def test_range_join_equals_brute_force(spark):
