@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from revlens.llm.common import NO_ID, bound_batches, known_id, null_id, run_folder, shuffle_width, slices, store_at
 
-#: Bounds of the per-worker cache of encoded pieces; it is emptied beyond them.
+#: Bounds of the per-worker cache of encoded pieces, some 250 MB; it is emptied beyond them.
 CACHE_PIECES, CACHE_CHARS = 1_000_000, 16_000_000
 #: Characters encoded at once while a shard is written.
 SLICE_CHARS = 1_000_000
