@@ -40,7 +40,7 @@ CACHE_PIECES, CACHE_CHARS = 1_000_000, 16_000_000
 #: Characters encoded at once while a shard is written.
 SLICE_CHARS = 1_000_000
 SPACE = re.compile(r"(?<=\S)(?= \S)")
-LETTERS_END = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])|(?<=\n)(?=[^\W\d_])")
+LETTERS_END = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])|(?<=\S\n)(?=[^\W\d_])")
 #: White space other than the space and the line feed.
 RARE_SPACE = re.compile(r"[^\S \n]")
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_ids long"
@@ -50,7 +50,7 @@ class PieceEncoder(dict):
     """Encodes texts with a byte-level BPE tokenizer, each distinct piece of text once.
 
     A text is cut before every single space that stands between two other characters, and a piece
-    further after every run of letters and between a line feed and a letter. The tokenizer's own splitting always begins a new word
+    further after every run of letters and between a single line feed and a letter. The tokenizer's own splitting always begins a new word
     there, so the ids of the pieces, put together, are the ids of the text. The mapping itself is
     the cache: piece to its ids as bytes.
     """
