@@ -91,11 +91,15 @@ DIFFS_CTE = ("diffs", f"""
 _CATS = "['security','logic','test_coverage','style','performance']"
 _SEVS = "['critical','high','medium','low','info']"
 _C = "(1 + (3 * CAST(floor(l_quantity) AS BIGINT)) % 60)"
-_START = f"(CASE WHEN l_partkey % 23 = 0 THEN {_C} + 500 ELSE {_C} + l_linenumber % 2 END)"
+_START = f"(CASE WHEN l_partkey % 23 = 0 THEN {_C} + 500 WHEN l_partkey % 31 <> 0 THEN {_C} + l_linenumber % 2 END)"
+_END = f"({_START} + CASE WHEN l_partkey % 37 = 0 THEN 500 ELSE 1 END)"
+_SCORE = "(CASE WHEN l_partkey % 19 = 0 THEN 1.5 ELSE round(l_discount * 10, 2) END)"
+_TIER = (f"(CASE WHEN l_partkey % 29 = 0 THEN 'low' WHEN {_SCORE} >= 0.8 THEN 'high' WHEN {_SCORE} >= 0.5 THEN 'medium' "
+         f"ELSE 'low' END)")
 
 ANSWERS_CTE = ("answers", f"""
-  SELECT task_id, o AS pull_request_id, raw, CAST(ceil(strlen(raw) / 3.33) AS BIGINT) AS completion_tokens
-  FROM (SELECT task_id, o,
+  SELECT task_id, o AS pull_request_id, file_path, raw, CAST(ceil(strlen(raw) / 3.33) AS BIGINT) AS completion_tokens
+  FROM (SELECT task_id, o, file_path,
                CASE o % 4 WHEN 0 THEN payload
                           WHEN 1 THEN '```json' || chr(10) || payload || chr(10) || '```'
                           WHEN 2 THEN 'Here is my review.' || chr(10) || '```json' || chr(10) || payload
@@ -103,16 +107,15 @@ ANSWERS_CTE = ("answers", f"""
                           ELSE CASE WHEN o % 20 = 3 THEN left(payload, length(payload) - 1)
                                ELSE left(payload, length(payload) - 1) || chr(10) || '```json' || chr(10) || payload
                                     || chr(10) || '```' END END AS raw
-        FROM (SELECT l_orderkey * 10 + l_linenumber AS task_id, l_orderkey AS o,
+        FROM (SELECT l_orderkey * 10 + l_linenumber AS task_id, l_orderkey AS o, {path_expr('min(l_partkey)')} AS file_path,
                      '{{"findings":[' || string_agg(
                        '{{"category":"' || CASE WHEN l_partkey % 17 = 0 THEN 'bogus'
                                                 ELSE {_CATS}[l_suppkey % 5 + 1] END
                        || '","severity":"' || {_SEVS}[l_linenumber % 5 + 1]
-                       || '","confidence":' || CAST(CASE WHEN l_partkey % 19 = 0 THEN 1.5
-                                                         ELSE round(l_discount * 10, 2) END AS VARCHAR)
-                       || ',"file_path":"' || {path_expr('l_partkey')}
-                       || '","start_line":' || CAST({_START} AS VARCHAR)
-                       || ',"end_line":' || CAST({_START} + 1 AS VARCHAR)
+                       || '","confidence_tier":"' || {_TIER}
+                       || '","confidence_score":' || CAST({_SCORE} AS VARCHAR)
+                       || ',"start_line":' || coalesce(CAST({_START} AS VARCHAR), 'null')
+                       || ',"end_line":' || coalesce(CAST({_END} AS VARCHAR), 'null')
                        || ',"title":"Issue ' || CAST(l_suppkey AS VARCHAR)
                        || '","body":"Check value ' || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR)
                        || '"}}', ',' ORDER BY l_partkey, l_suppkey, l_quantity) || ']}}' AS payload

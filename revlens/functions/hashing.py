@@ -42,9 +42,9 @@ def prompt_hash(text) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(_c(text), 256))
 
 
-def config_hash(struct_col) -> Column:
-    """sha256 of the JSON form of a config struct (field order = declared order)."""
-    return F.sha2(F.to_json(_c(struct_col)), 256)
+def config_hash(*fields: str) -> Column:
+    """sha256 of the JSON object of the fields, keys in sorted order."""
+    return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
 
 
 def hmac_sha256_hex(payload, key: str) -> Column:

@@ -143,12 +143,9 @@ def overlapping_symbols(hunks: DataFrame, symbols: DataFrame, bucket: int = RANG
         (F.col("start_line") <= F.col("h_end")) & (F.col("end_line") >= F.col("h_start")) &
         (F.col("b") == F.floor(F.greatest("start_line", "h_start") / bucket)))
     overlap = F.least("end_line", "h_end") - F.greatest("start_line", "h_start") + 1
-    return j.groupBy("pull_request_id", "path", "name").agg(
-        F.first("start_line").alias("start_line"), F.first("end_line").alias("end_line"),
-        F.first("param_count").alias("param_count"), F.first("exported").alias("exported"),
-        F.first("kind").alias("kind"), F.first("ext").alias("ext"),
-        F.first("repo_full_name").alias("repo_full_name"),
-        F.sum(overlap).alias("changed_lines"))
+    # a definition is its path, name and place: two of one name stay two
+    return j.groupBy("pull_request_id", "path", "name", "start_line", "end_line", "param_count", "exported", "kind",
+                     "ext", "repo_full_name").agg(F.sum(overlap).alias("changed_lines"))
 
 
 def package_of(path: Column) -> Column:

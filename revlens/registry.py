@@ -835,8 +835,8 @@ def _normalised(spark, d):
     from .plans.findings_flow import normalise_findings
     ix = _index(spark, d)
     v = views(spark, d)
-    tasks = v.review_tasks.select(F.col("id").alias("task_id"), F.lit("").alias("symbol"), "model_id")
-    return normalise_findings(_parsed(spark, d), ix.lines, v.pull_requests, tasks)
+    tasks = v.review_tasks.select(F.col("id").alias("task_id"), "model_id")
+    return normalise_findings(_parsed(spark, d), ix.lines, v.pull_requests, tasks, ix.symbols)
 
 
 @entry("normalise_findings")
@@ -957,7 +957,7 @@ def q_h25(spark, d):
 def q_h26(spark, d):
     from .functions.hashing import config_hash
     r = views(spark, d).pipeline_runs
-    return r.select("id", config_hash(F.struct("prompt_version", "metadata")).alias("config_sha"))
+    return r.select("id", config_hash("prompt_version", "metadata").alias("config_sha"))
 
 
 @entry("prompt_hash")
@@ -1059,7 +1059,7 @@ def q_c11(spark, d):
     from .plans.findings_flow import code_scan, static_tool_grounding
     from .plans.planner import generate_tasks
     ix = _index(spark, d)
-    return static_tool_grounding(code_scan(ix.lines), generate_tasks(ix), ix.symbols)
+    return static_tool_grounding(code_scan(ix.lines), generate_tasks(ix))
 
 
 @entry("slice_allocations")

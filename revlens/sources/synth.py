@@ -160,7 +160,7 @@ def _json_str(x: Column) -> Column:
 
 
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model answer per review task: task_id, raw, completion tokens.
+    """Raw model answer per review task: task_id, file_path (of the task), raw, completion tokens.
 
     Each line item of the task is one finding object; answers come as raw
     JSON (o%4=0), fenced (1), prose then fence (2) or without its last bracket
@@ -170,14 +170,16 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = 1 + (3 * F.floor(F.col("l_quantity"))) % 60
     cat = F.when(pk % 17 == 0, F.lit("bogus")).otherwise(pick(CATEGORIES, sk % 5))
     conf = F.when(pk % 19 == 0, F.lit(1.5)).otherwise(F.round(F.col("l_discount") * 10, 2))
-    start = F.when(pk % 23 == 0, c + 500).otherwise(c + ln % 2)
+    tier = F.when(pk % 29 == 0, "low").when(conf >= 0.8, "high").when(conf >= 0.5, "medium").otherwise("low")
+    start = F.when(pk % 23 == 0, c + 500).when(pk % 31 != 0, c + ln % 2)
+    end = F.when(pk % 37 == 0, start + 500).otherwise(start + 1)
     obj = F.concat(
         F.lit('{"category":'), _json_str(cat),
         F.lit(',"severity":'), _json_str(pick(SEVERITIES, ln % 5)),
-        F.lit(',"confidence":'), s(conf),
-        F.lit(',"file_path":'), _json_str(file_path_of(pk)),
-        F.lit(',"start_line":'), s(start),
-        F.lit(',"end_line":'), s(start + 1),
+        F.lit(',"confidence_tier":'), _json_str(tier),
+        F.lit(',"confidence_score":'), s(conf),
+        F.lit(',"start_line":'), F.coalesce(s(start), F.lit("null")),
+        F.lit(',"end_line":'), F.coalesce(s(end), F.lit("null")),
         F.lit(',"title":'), _json_str(F.concat(F.lit("Issue "), s(sk))),
         F.lit(',"body":'), _json_str(F.concat(F.lit("Check value "), s(F.floor(F.col("l_quantity"))))),
         F.lit("}"))
@@ -185,6 +187,7 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.struct(pk.alias("pk"), sk.alias("sk"), F.col("l_quantity").alias("q"),
                               obj.alias("obj")).alias("x"))
     g = rows.groupBy("task_id", "o").agg(
+        file_path_of(F.min("x.pk")).alias("file_path"),
         F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["obj"]), ",").alias("objs"))
     payload = F.concat(F.lit('{"findings":['), F.col("objs"), F.lit("]}"))
     unclosed = F.concat(F.lit('{"findings":['), F.col("objs"), F.lit("]"))
@@ -194,5 +197,5 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(kind == 2, F.concat(F.lit("Here is my review.\n```json\n"), payload, F.lit("\n```\nDone.")))
            .when(F.col("o") % 20 == 3, unclosed)
            .otherwise(F.concat(unclosed, F.lit("\n```json\n"), payload, F.lit("\n```"))))
-    return g.select("task_id", (F.col("o")).alias("pull_request_id"), raw.alias("raw"),
+    return g.select("task_id", (F.col("o")).alias("pull_request_id"), "file_path", raw.alias("raw"),
                     F.ceil(F.octet_length(raw) / F.lit(3.33)).cast("bigint").alias("completion_tokens"))

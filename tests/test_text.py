@@ -72,3 +72,38 @@ def test_definitions_imports_calls(spark):
     assert (i.package, i.alias) == ("pkg/util/m2", "m2")
     c = X.calls(lines).filter("qualified").first()
     assert (c.alias, c.name, c.line_no) == ("m2", "Do", 4)
+
+
+def test_answer_format_and_reject_reasons(spark):
+    import json
+
+    from revlens.plans.findings_flow import parse_findings
+    good = {"title": "t", "body": "b", "suggestion": "s", "category": "logic", "severity": "high",
+            "confidence_tier": "high", "confidence_score": 0.9, "start_line": 12, "end_line": 14}
+    cases = [({}, None), ({"start_line": None, "end_line": None}, None), ({"category": "other"}, "bad_category"),
+             ({"severity": "blocker"}, "bad_severity"), ({"confidence_score": 1.2}, "confidence_out_of_range"),
+             ({"confidence_tier": "low"}, "tier_mismatch"), ({"start_line": 2}, "line_outside_diff"),
+             ({"end_line": 40}, "line_outside_diff")]
+    raw = "```json " + json.dumps({"findings": [good | c for c, _ in cases]}) + "```"
+    answers = spark.createDataFrame([(1, 7, "a.go", raw), (2, 7, "a.go", "sorry"), (3, 7, "a.go", None)],
+                                    "task_id long, pull_request_id long, file_path string, raw string")
+    hunks = spark.createDataFrame([(7, "a.go", 10, 20)], "pull_request_id long, path string, start int, `end` int")
+    got = parse_findings(answers, hunks).orderBy("task_id", "ordinal").collect()
+    assert [r.reason for r in got] == [r for _, r in cases] + ["invalid_json", "no_json"]
+    assert {r.file_path for r in got} == {"a.go"}
+
+
+def test_two_definitions_of_one_name_stay_two(spark):
+    h = spark.createDataFrame([(1, "f.go", 1, 50)], "pull_request_id long, path string, start int, `end` int")
+    s = spark.createDataFrame([("f.go", "F", a, a + 9, 0, True, "func", "go", "org/r") for a in (1, 21)],
+                              "path string, name string, start_line int, end_line int, param_count int, "
+                              "exported boolean, kind string, ext string, repo_full_name string")
+    assert sorted(r.start_line for r in X.overlapping_symbols(h, s).collect()) == [1, 21]
+
+
+def test_merge_meta_keeps_values(spark):
+    from revlens.operators.maintenance import merge_meta
+    df = spark.createDataFrame([('{"slice":{"diff":3},"n":5,"ok":true,"none":null}', "x"), (None, None)],
+                               "metadata string, e string")
+    got = [r.metadata for r in merge_meta(df, {"e": F.col("e"), "n": F.col("e")}).collect()]
+    assert got == ['{"slice":{"diff":3},"ok":true,"none":null,"e":"x","n":"x"}', "{}"]
