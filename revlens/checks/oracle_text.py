@@ -19,10 +19,10 @@ def path_expr(k: str) -> str:
 
 
 FILES_BASE = f"""
-  SELECT p_partkey AS k, 'org/repo-' || CAST(p_partkey % 25 AS VARCHAR) AS repo_full_name,
-         {_file_cols('p_partkey')},
-         CAST(floor(p_partkey / 2) AS BIGINT) AS k2
-  FROM part"""
+  SELECT part_key, k, 'org/repo-' || CAST(part_key % 25 AS VARCHAR) AS repo_full_name,
+         {_file_cols('k')},
+         CAST(floor(k / 2) AS BIGINT) AS k2
+  FROM (SELECT p_partkey AS part_key, CAST(floor(p_partkey / 25) AS BIGINT) AS k FROM part)"""
 
 CODE_LINES = f"""
   list_concat(
@@ -50,7 +50,7 @@ CODE_LINES = f"""
       CASE WHEN ext = 'py' THEN []::VARCHAR[] ELSE ['}}'] END))))"""
 
 FILES_CTE = ("files", f"""
-  SELECT k AS part_key, repo_full_name,
+  SELECT part_key, repo_full_name,
          top || '/' || sub || '/' || base || '.' || ext AS path, ext,
          array_to_string(CASE WHEN ext = 'yaml'
               THEN ['kind: Deployment', 'metadata:', '  name: ' || base, 'spec:',
@@ -59,7 +59,7 @@ FILES_CTE = ("files", f"""
          false AS is_test
   FROM ({FILES_BASE})
   UNION ALL
-  SELECT k, repo_full_name,
+  SELECT part_key, repo_full_name,
          CASE WHEN k % 2 = 0 OR ext = 'go' THEN '' ELSE 'tests/' END || top || '/' || sub || '/' ||
          CASE ext WHEN 'go' THEN base || '_test.go' WHEN 'py' THEN 'test_' || base || '.py'
                   WHEN 'ts' THEN base || '.test.ts' ELSE base || 'Test.php' END,
@@ -79,11 +79,13 @@ def _hunk_header() -> str:
             f"|| ',' || CAST({d} AS VARCHAR) || ' @@' END")
 
 
+_FILE = "CAST(floor(l_partkey / 25) AS BIGINT)"
 DIFFS_CTE = ("diffs", f"""
   SELECT l_orderkey AS pull_request_id,
-         string_agg('diff --git a/' || {path_expr('l_partkey')} || ' b/' || {path_expr('l_partkey')}
-                    || chr(10) || '--- a/' || {path_expr('l_partkey')} || chr(10) || '+++ b/'
-                    || {path_expr('l_partkey')} || chr(10) || {_hunk_header()} || chr(10)
+         'org/repo-' || CAST(CAST(floor(l_orderkey / 3) AS BIGINT) % 25 AS VARCHAR) AS repo_full_name,
+         string_agg('diff --git a/' || {path_expr(_FILE)} || ' b/' || {path_expr(_FILE)}
+                    || chr(10) || '--- a/' || {path_expr(_FILE)} || chr(10) || '+++ b/'
+                    || {path_expr(_FILE)} || chr(10) || {_hunk_header()} || chr(10)
                     || '+changed line ' || CAST(l_linenumber AS VARCHAR), chr(10)
                     ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS diff
   FROM lineitem GROUP BY l_orderkey""")
@@ -107,7 +109,7 @@ ANSWERS_CTE = ("answers", f"""
                           ELSE CASE WHEN o % 20 = 3 THEN left(payload, length(payload) - 1)
                                ELSE left(payload, length(payload) - 1) || chr(10) || '```json' || chr(10) || payload
                                     || chr(10) || '```' END END AS raw
-        FROM (SELECT l_orderkey * 10 + l_linenumber AS task_id, l_orderkey AS o, {path_expr('min(l_partkey)')} AS file_path,
+        FROM (SELECT l_orderkey * 10 + l_linenumber AS task_id, l_orderkey AS o, {path_expr('CAST(floor(min(l_partkey) / 25) AS BIGINT)')} AS file_path,
                      '{{"findings":[' || string_agg(
                        '{{"category":"' || CASE WHEN l_partkey % 17 = 0 THEN 'bogus'
                                                 ELSE {_CATS}[l_suppkey % 5 + 1] END

@@ -43,28 +43,28 @@ def parse_hunks(diffs: DataFrame, exact_end: bool = False) -> DataFrame:
     reference's range (Q16); ``exact_end`` gives ``start + count - 1``.
     File sections come from splitting on the ``diff --git`` marker; no window.
     """
-    sec = diffs.select("pull_request_id", F.explode(F.split("diff", "diff --git ")).alias("section")) \
+    sec = diffs.select("pull_request_id", "repo_full_name", F.explode(F.split("diff", "diff --git ")).alias("section")) \
         .filter(F.col("section") != "")
-    sec = sec.select("pull_request_id", F.regexp_extract("section", r"\+\+\+ b/(\S+)", 1).alias("path"),
+    sec = sec.select("pull_request_id", "repo_full_name", F.regexp_extract("section", r"\+\+\+ b/(\S+)", 1).alias("path"),
                      F.explode(F.regexp_extract_all("section", F.lit(HUNK_HEADER), 0)).alias("header"))
     start = F.regexp_extract("header", r"\+([0-9]+)", 1).cast("int")
     cnt = F.coalesce(F.nullif(F.regexp_extract("header", r"\+[0-9]+,([0-9]+)", 1), F.lit("")),
                      F.lit("1")).cast("int")
     end = start + cnt - (1 if exact_end else 0)
-    return sec.select("pull_request_id", "path", start.alias("start"), end.alias("end"))
+    return sec.select("pull_request_id", "repo_full_name", "path", start.alias("start"), end.alias("end"))
 
 
 def diff_sections(diffs: DataFrame) -> DataFrame:
     """Per (PR, path) the diff section text (the slice's diff content)."""
-    sec = diffs.select("pull_request_id", F.explode(F.split("diff", "diff --git ")).alias("section")) \
+    sec = diffs.select("pull_request_id", "repo_full_name", F.explode(F.split("diff", "diff --git ")).alias("section")) \
         .filter(F.col("section") != "")
-    return sec.select("pull_request_id", F.regexp_extract("section", r"\+\+\+ b/(\S+)", 1).alias("path"),
+    return sec.select("pull_request_id", "repo_full_name", F.regexp_extract("section", r"\+\+\+ b/(\S+)", 1).alias("path"),
                       F.concat(F.lit("diff --git "), F.col("section")).alias("section"))
 
 
 def changed_files(diffs: DataFrame) -> DataFrame:
     """Distinct changed paths per PR."""
-    return diff_sections(diffs).select("pull_request_id", "path").distinct()
+    return diff_sections(diffs).select("pull_request_id", "repo_full_name", "path").distinct()
 
 
 def definitions(lines: DataFrame) -> DataFrame:
@@ -91,9 +91,9 @@ def imports(lines: DataFrame) -> DataFrame:
         "ts": F.regexp_extract(t, r'^import\s+\*\s+as\s+[A-Za-z0-9_]+\s+from\s+"([^"]+)"', 1),
         "php": F.translate(F.regexp_extract(t, r"^use\s+([A-Za-z0-9_\\]+);", 1), "\\", "/"),
     })
-    d = lines.select(F.col("path").alias("importer"), pkg.alias("package"))
+    d = lines.select("repo_full_name", F.col("path").alias("importer"), pkg.alias("package"))
     d = d.filter(F.regexp_extract("package", r"([^/]+)$", 1) != "")
-    return d.select("importer", "package", F.regexp_extract("package", r"([^/]+)$", 1).alias("alias")).distinct()
+    return d.select("repo_full_name", "importer", "package", F.regexp_extract("package", r"([^/]+)$", 1).alias("alias")).distinct()
 
 
 def calls(lines: DataFrame) -> DataFrame:
@@ -102,14 +102,14 @@ def calls(lines: DataFrame) -> DataFrame:
     ext = F.col("ext")
     is_def = _by_ext(ext, {e: F.col("text").rlike(p) for e, p in DEF_PATTERNS.items()})
     body = lines.filter(~F.coalesce(is_def, F.lit(False)))
-    q = body.select("path", "line_no", "text",
+    q = body.select("repo_full_name", "path", "line_no", "text",
                     F.explode(F.regexp_extract_all("text", F.lit(QUALIFIED_CALL), 0)).alias("m"))
-    q = q.select("path", "line_no", "text", F.split("m", r"\.").getItem(0).alias("alias"),
+    q = q.select("repo_full_name", "path", "line_no", "text", F.split("m", r"\.").getItem(0).alias("alias"),
                  F.regexp_replace(F.split("m", r"\.").getItem(1), r"\($", "").alias("name"),
                  F.lit(True).alias("qualified"))
-    u = body.select("path", "line_no", "text",
+    u = body.select("repo_full_name", "path", "line_no", "text",
                     F.explode(F.regexp_extract_all("text", F.lit(UNQUALIFIED_CALL), 1)).alias("name"))
-    u = u.select("path", "line_no", "text", F.lit(None).cast("string").alias("alias"), "name",
+    u = u.select("repo_full_name", "path", "line_no", "text", F.lit(None).cast("string").alias("alias"), "name",
                  F.lit(False).alias("qualified"))
     return q.unionByName(u)
 
@@ -117,9 +117,9 @@ def calls(lines: DataFrame) -> DataFrame:
 def symbol_ranges(defs: DataFrame, lines: DataFrame) -> DataFrame:
     """A definition ends on the line before the next one, the last one at
     the end of the file.  Windows are per file (bounded by file size)."""
-    n = lines.groupBy("path").agg(F.max("line_no").alias("n_lines"))
-    w = Window.partitionBy("path").orderBy("start_line", "name")
-    return defs.join(n, "path").withColumn(
+    n = lines.groupBy("repo_full_name", "path").agg(F.max("line_no").alias("n_lines"))
+    w = Window.partitionBy("repo_full_name", "path").orderBy("start_line", "name")
+    return defs.join(n, ["repo_full_name", "path"]).withColumn(
         "end_line", F.coalesce(F.lead("start_line").over(w) - 1, F.col("n_lines"))).drop("n_lines")
 
 
@@ -130,16 +130,16 @@ def _buckets(lo: Column, hi: Column, size: int) -> Column:
 def overlapping_symbols(hunks: DataFrame, symbols: DataFrame, bucket: int = RANGE_BUCKET_LINES) -> DataFrame:
     """Symbols whose line range meets a changed range of the same file.
 
-    Range join as an equi join on (path, line bucket) plus the interval test;
+    Range join as an equi join on (repository, path, line bucket) plus the interval test;
     a pair is reported only in the bucket of its first common line, so there
     are no duplicates and no all-pairs blow-up inside a hot file.
     Returns one row per (PR, symbol) with the number of changed lines inside it.
     """
-    h = hunks.select("pull_request_id", "path", F.col("start").alias("h_start"), F.col("end").alias("h_end"),
+    h = hunks.select("pull_request_id", "repo_full_name", "path", F.col("start").alias("h_start"), F.col("end").alias("h_end"),
                      _buckets(F.col("start"), F.col("end"), bucket).alias("b"))
     s = symbols.select("path", "name", "start_line", "end_line", "param_count", "exported", "kind", "ext",
                        "repo_full_name", _buckets(F.col("start_line"), F.col("end_line"), bucket).alias("b"))
-    j = h.join(s, ["path", "b"]).filter(
+    j = h.join(s, ["repo_full_name", "path", "b"]).filter(
         (F.col("start_line") <= F.col("h_end")) & (F.col("end_line") >= F.col("h_start")) &
         (F.col("b") == F.floor(F.greatest("start_line", "h_start") / bucket)))
     overlap = F.least("end_line", "h_end") - F.greatest("start_line", "h_start") + 1
@@ -161,14 +161,14 @@ def change_cone(changed: DataFrame, imps: DataFrame, cls: DataFrame) -> DataFram
     Both are equi joins whose output is the set of real references.
     """
     resolved_q = cls.filter("qualified").join(
-        imps.withColumnRenamed("importer", "path"), ["path", "alias"]) \
-        .select(F.col("path").alias("importer"), "line_no", "text", "package", "name")
+        imps.withColumnRenamed("importer", "path"), ["repo_full_name", "path", "alias"]) \
+        .select("repo_full_name", F.col("path").alias("importer"), "line_no", "text", "package", "name")
     resolved_u = cls.filter(~F.col("qualified")).join(
-        imps.withColumnRenamed("importer", "path").drop("alias"), "path") \
-        .select(F.col("path").alias("importer"), "line_no", "text", "package", "name")
+        imps.withColumnRenamed("importer", "path").drop("alias"), ["repo_full_name", "path"]) \
+        .select("repo_full_name", F.col("path").alias("importer"), "line_no", "text", "package", "name")
     resolved = resolved_q.unionByName(resolved_u)
-    ch = changed.select("pull_request_id", "path", "name", package_of(F.col("path")).alias("package"))
-    return ch.join(resolved, ["package", "name"]).select(
+    ch = changed.select("pull_request_id", "repo_full_name", "path", "name", package_of(F.col("path")).alias("package"))
+    return ch.join(resolved, ["repo_full_name", "package", "name"]).select(
         "pull_request_id", "path", "name", "importer", "line_no", "text").distinct()
 
 
@@ -194,7 +194,8 @@ def test_file_map(files: DataFrame) -> DataFrame:
                                               F.concat(mirror, base, F.lit(".test.ts"))))
              .otherwise(cand(F.concat(same, base, F.lit("Test.php")),
                              F.concat(mirror, base, F.lit("Test.php")))))
-    c = src.select("path", F.explode(cands).alias("c")).select("path", "c.priority", "c.candidate")
-    existing = files.select(F.col("path").alias("candidate"))
-    hit = c.join(existing, "candidate")
-    return hit.groupBy("path").agg(F.min_by("candidate", "priority").alias("test_path"))
+    c = src.select("repo_full_name", "path", F.explode(cands).alias("c")) \
+        .select("repo_full_name", "path", "c.priority", "c.candidate")
+    existing = files.select("repo_full_name", F.col("path").alias("candidate"))
+    hit = c.join(existing, ["repo_full_name", "candidate"])
+    return hit.groupBy("repo_full_name", "path").agg(F.min_by("candidate", "priority").alias("test_path"))

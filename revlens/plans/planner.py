@@ -58,7 +58,7 @@ class Index:
 
 def scored_symbols(ix: Index, cfg: ReviewConfig = DEFAULT) -> DataFrame:
     """H8: changed symbols with has_tests and risk score."""
-    c = ix.changed.join(ix.tests, "path", "left").withColumn("has_tests", F.col("test_path").isNotNull())
+    c = ix.changed.join(ix.tests, ["repo_full_name", "path"], "left").withColumn("has_tests", F.col("test_path").isNotNull())
     return c.withColumn("risk_score", F.round(risk_score("path", "exported", "kind", "param_count",
                                                          "has_tests", "changed_lines"), 4))
 
@@ -75,12 +75,12 @@ def above_threshold(scored: DataFrame, cfg: ReviewConfig = DEFAULT) -> DataFrame
 def file_level_tasks(ix: Index, cfg: ReviewConfig = DEFAULT) -> DataFrame:
     """H13 (+H12): one logic task per changed file that has no grammar or no
     changed symbol; risk from the path only."""
-    cf = X.changed_files(ix.diffs).join(ix.files.filter(~F.col("is_test")).select("path", "ext"), "path", "left")
+    cf = X.changed_files(ix.diffs).join(ix.files.filter(~F.col("is_test")).select("repo_full_name", "path", "ext"), ["repo_full_name", "path"], "left")
     no_grammar = ~F.coalesce(F.col("ext").isin("go", "py", "ts", "php"), F.lit(False))
     with_sym = ix.changed.select("pull_request_id", "path").distinct()
     no_symbols = cf.join(with_sym, ["pull_request_id", "path"], "left_anti")
     return no_symbols.select(
-        "pull_request_id", "path", F.lit("").alias("symbol"), F.lit("logic").alias("task_type"),
+        "pull_request_id", "repo_full_name", "path", F.lit("").alias("symbol"), F.lit("logic").alias("task_type"),
         path_risk("path").alias("risk_score"), route_model(F.lit("logic"), cfg).alias("model_id"),
         F.lit(True).alias("file_level"), no_grammar.alias("no_grammar"))
 
@@ -88,7 +88,7 @@ def file_level_tasks(ix: Index, cfg: ReviewConfig = DEFAULT) -> DataFrame:
 def generate_tasks(ix: Index, cfg: ReviewConfig = DEFAULT) -> DataFrame:
     """Scored, thresholded, typed and routed tasks plus file-level tasks."""
     s = above_threshold(scored_symbols(ix, cfg), cfg)
-    typed = s.select("pull_request_id", "path", F.col("name").alias("symbol"), "risk_score",
+    typed = s.select("pull_request_id", "repo_full_name", "path", F.col("name").alias("symbol"), "risk_score",
                      F.explode(task_types("path", "name", "exported", "start_line", "end_line",
                                           "param_count", "has_tests")).alias("task_type"))
     typed = typed.withColumn("model_id", route_model("task_type", cfg)) \
@@ -158,11 +158,12 @@ def build_slices(ix: Index, tasks: DataFrame, cfg: ReviewConfig = DEFAULT) -> Da
                        ref_line.alias("ref"))
     cg_len = refs.groupBy("pull_request_id", "path", "symbol").agg(
         (F.sum(F.octet_length("ref") + 1) - 1).alias("cg_bytes"))
-    test_text = ix.tests.join(ix.files.select(F.col("path").alias("test_path"), F.col("content").alias("test_text")),
-                              "test_path").select("path", "test_text")
+    test_text = ix.tests.join(ix.files.select("repo_full_name", F.col("path").alias("test_path"),
+                                              F.col("content").alias("test_text")),
+                              ["repo_full_name", "test_path"]).select("repo_full_name", "path", "test_text")
     t = (tasks.join(sec, ["pull_request_id", "path"], "left")
          .join(cg_len, ["pull_request_id", "path", "symbol"], "left")
-         .join(test_text, "path", "left"))
+         .join(test_text, ["repo_full_name", "path"], "left"))
     appr = F.coalesce(language_of("path")["approximate"], F.lit(False))
     if cfg.approximate_index == "always":
         appr = F.lit(True)

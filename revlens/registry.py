@@ -717,17 +717,17 @@ def q_g4(spark, d):
 
 @entry("infer_symbols")
 def q_h28(spark, d):
-    return _index(spark, d).defs.select("path", "name", "start_line", "param_count", "exported")
+    return _index(spark, d).defs.select("repo_full_name", "path", "name", "start_line", "param_count", "exported")
 
 
 @entry("symbol_line_ranges")
 def q_e6(spark, d):
-    return _index(spark, d).symbols.select("path", "name", "start_line", "end_line")
+    return _index(spark, d).symbols.select("repo_full_name", "path", "name", "start_line", "end_line")
 
 
 @entry("symbol_overlaps_hunk")
 def q_c7(spark, d):
-    return _index(spark, d).changed.select("pull_request_id", "path", "name", "changed_lines")
+    return _index(spark, d).changed.select("pull_request_id", "repo_full_name", "path", "name", "changed_lines")
 
 
 @entry("change_cone")

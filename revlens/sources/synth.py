@@ -5,7 +5,7 @@ Built by string concatenation and array functions only, row by row (files
 from ``part``, diffs and answers from ``lineitem``), so the same text comes
 out of DuckDB for the oracle.  Layout rules:
 
-* file of part k: ``TOP[k%6]/m{k%7}/file{k}.{ext}``; ext by ``k%4`` (go, py,
+* part p is file k = p//25 of repository p%25: ``TOP[k%6]/m{k%7}/file{k}.{ext}``; ext by ``k%4`` (go, py,
   ts, php), except ``deploy/helm`` files which are YAML (no grammar);
 * file k imports the package of file ``k//2`` and calls its ``Handle_*_1``;
   functions ``Handle_k_j`` (odd j) and ``helper_k_j`` (even j), ``1+k%3`` of
@@ -46,8 +46,18 @@ def _file_parts(k: Column) -> dict[str, Column]:
     return {"top": top, "ext": ext, "sub": sub, "base": base, "path": path}
 
 
-def file_path_of(k: Column) -> Column:
-    return _file_parts(k)["path"]
+def file_number(part_key: Column) -> Column:
+    """Which of its repository's files a part is: parts go round the repositories, so a path
+    occurs in many of them."""
+    return F.floor(part_key / N_REPOS)
+
+
+def repo_of_order(o: Column) -> Column:
+    return F.concat(F.lit("org/repo-"), s(F.floor(o / 3) % N_REPOS))
+
+
+def file_path_of(part_key: Column) -> Column:
+    return _file_parts(file_number(part_key))["path"]
 
 
 def _code_lines(k: Column, ext: Column, sub: Column, base: Column, repo: Column) -> Column:
@@ -97,13 +107,14 @@ def _code_lines(k: Column, ext: Column, sub: Column, base: Column, repo: Column)
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source file per part plus test files: repo, path, language, content."""
     p = read_table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
+    key = F.col("p_partkey")
+    k = file_number(key)
     fp = _file_parts(k)
-    repo = F.concat(F.lit("org/repo-"), s(k % N_REPOS))
+    repo = F.concat(F.lit("org/repo-"), s(key % N_REPOS))
     yaml = F.array(F.lit("kind: Deployment"), F.lit("metadata:"), F.concat(F.lit("  name: "), fp["base"]),
                    F.lit("spec:"), F.concat(F.lit("  replicas: "), s(1 + k % 5)))
     lines = F.when(fp["ext"] == "yaml", yaml).otherwise(_code_lines(k, fp["ext"], fp["sub"], fp["base"], repo))
-    src = p.select(k.alias("part_key"), repo.alias("repo_full_name"), fp["path"].alias("path"),
+    src = p.select(key.alias("part_key"), repo.alias("repo_full_name"), fp["path"].alias("path"),
                    fp["ext"].alias("ext"), F.array_join(lines, "\n").alias("content"),
                    F.lit(False).alias("is_test"))
     ext = fp["ext"]
@@ -115,7 +126,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     test_path = F.when((k % 2 == 0) | (ext == "go"), F.concat(folder, test_name)) \
         .otherwise(F.concat(F.lit("tests/"), folder, test_name))
     tests = p.filter((k % 3 == 0) & (k % 6 != 3)).select(
-        k.alias("part_key"), repo.alias("repo_full_name"), test_path.alias("path"), ext.alias("ext"),
+        key.alias("part_key"), repo.alias("repo_full_name"), test_path.alias("path"), ext.alias("ext"),
         F.concat(F.lit("// tests for "), fp["base"], F.lit("\nassert Handle_"), s(k),
                  F.lit("_1")).alias("content"),
         F.lit(True).alias("is_test"))
@@ -152,7 +163,8 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.struct(ln.alias("ln"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
                               F.col("l_quantity").alias("q"), section.alias("sec")).alias("x"))
     return rows.groupBy("pull_request_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["sec"]), "\n").alias("diff"))
+        F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["sec"]), "\n").alias("diff")) \
+        .withColumn("repo_full_name", repo_of_order(F.col("pull_request_id")))
 
 
 def _json_str(x: Column) -> Column:

@@ -9,7 +9,7 @@ from revlens.plans.planner import pack_lines, truncate_to_tokens
 def test_hunk_header_without_counts_means_one(spark):
     diff = ("diff --git a/x.go b/x.go\n--- a/x.go\n+++ b/x.go\n@@ -3 +5 @@\n+a\n"
             "diff --git a/y.py b/y.py\n--- a/y.py\n+++ b/y.py\n@@ -1,2 +10,4 @@\n+b")
-    df = spark.createDataFrame([(1, diff)], "pull_request_id long, diff string")
+    df = spark.createDataFrame([(1, "org/r", diff)], "pull_request_id long, repo_full_name string, diff string")
     got = sorted((r.path, r.start, r.end) for r in X.parse_hunks(df).collect())
     assert got == [("x.go", 5, 6), ("y.py", 10, 14)]
     exact = sorted((r.path, r.start, r.end) for r in X.parse_hunks(df, exact_end=True).collect())
@@ -43,17 +43,17 @@ def test_pack_lines_returns_every_line(spark):
 def test_range_join_equals_brute_force(spark):
     import random
     rnd = random.Random(7)
-    hunks = [(1, "f.go", s, s + rnd.randint(0, 30)) for s in (rnd.randint(1, 400) for _ in range(60))]
+    hunks = [(1, "org/r", "f.go", s, s + rnd.randint(0, 30)) for s in (rnd.randint(1, 400) for _ in range(60))]
     syms = []
     for i in range(40):
         s = rnd.randint(1, 400)
         syms.append(("f.go", f"F{i}", s, s + rnd.randint(0, 150), 0, True, "func", "go", "org/r"))
-    h = spark.createDataFrame(hunks, "pull_request_id long, path string, start int, `end` int")
+    h = spark.createDataFrame(hunks, "pull_request_id long, repo_full_name string, path string, start int, `end` int")
     s = spark.createDataFrame(syms, "path string, name string, start_line int, end_line int, param_count int, "
                                     "exported boolean, kind string, ext string, repo_full_name string")
     got = {(r.name, r.changed_lines) for r in X.overlapping_symbols(h, s, bucket=16).collect()}
     want = {}
-    for _, _, hs, he in hunks:
+    for *_, hs, he in hunks:
         for _, n, ss, se, *_ in syms:
             if ss <= he and se >= hs:
                 want[n] = want.get(n, 0) + min(se, he) - max(ss, hs) + 1
@@ -94,7 +94,7 @@ def test_answer_format_and_reject_reasons(spark):
 
 
 def test_two_definitions_of_one_name_stay_two(spark):
-    h = spark.createDataFrame([(1, "f.go", 1, 50)], "pull_request_id long, path string, start int, `end` int")
+    h = spark.createDataFrame([(1, "org/r", "f.go", 1, 50)], "pull_request_id long, repo_full_name string, path string, start int, `end` int")
     s = spark.createDataFrame([("f.go", "F", a, a + 9, 0, True, "func", "go", "org/r") for a in (1, 21)],
                               "path string, name string, start_line int, end_line int, param_count int, "
                               "exported boolean, kind string, ext string, repo_full_name string")
