@@ -128,46 +128,52 @@ def dismiss(current: DataFrame, new: DataFrame) -> DataFrame:
         "fingerprint", "repo_full_name", "_l.dismissed_by", "_l.reason", "created_at")
 
 
-def _check(cond: Column, reason: str) -> Column:
-    return F.when(~F.coalesce(cond, F.lit(False)), F.lit(reason))
-
-
-def validate_findings(findings: DataFrame, prs: DataFrame | None = None) -> DataFrame:
-    """A10: NOT NULL, enum, score-range and tier checks (+ FK to PRs when given).
-
-    Adds ``errors`` (array of reasons, empty when the row is valid).
-    """
-    checks = [
-        _check(F.col("file_path").isNotNull(), "file_path_null"),
-        _check(F.col("location_hash").isNotNull(), "location_hash_null"),
-        _check(F.col("head_sha").isNotNull(), "head_sha_null"),
-        _check(F.col("model_id").isNotNull(), "model_id_null"),
-        _check(F.col("category").isin(*CATEGORIES), "bad_category"),
-        _check(F.col("confidence_tier").isin(*CONFIDENCE_TIERS), "bad_tier"),
-        _check(F.col("severity").isin(*SEVERITIES), "bad_severity"),
-        _check(F.col("confidence_score").between(0, 1), "score_out_of_range"),
-        _check(F.col("suppression_reason").isNull() |
-               F.col("suppression_reason").isin("duplicate", "low_confidence", "dismissed_fingerprint"),
-               "bad_suppression_reason"),
-    ]
-    d = findings
-    if prs is not None:
-        parents = prs.select(F.col("id").alias("pull_request_id")).withColumn("_parent", F.lit(True))
-        d = d.join(parents, "pull_request_id", "left")
-        checks.append(_check(F.col("_parent"), "missing_pull_request"))
-    d = d.withColumn("errors", F.array_compact(F.array(*checks)))
-    return d.drop("_parent") if prs is not None else d
-
-
-def validate_generic(df: DataFrame, table: str) -> DataFrame:
-    """A10 for the other tables: enum checks of their status/type columns."""
-    rules = {
-        "pull_requests": [_check(F.col("state").isin(*PR_STATES), "bad_state")],
-        "pipeline_runs": [_check(F.col("status").isin(*RUN_STATUSES), "bad_status")],
-        "review_tasks": [_check(F.col("status").isin(*TASK_STATUSES), "bad_status"),
-                         _check(F.col("task_type").isin(*TASK_TYPES), "bad_task_type")],
-    }[table]
-    return df.withColumn("errors", F.array_compact(F.array(*rules)))
+# ---------------------------------------------------------------------------
+# FIXED VALUES: constraints of the reference's tables
+# ---------------------------------------------------------------------------
+NOT_NULL = {
+    "pull_requests": ["external_pr_id", "repo_full_name", "pr_number", "head_sha", "base_sha", "author", "state",
+                      "metadata", "created_at", "updated_at"],
+    "pipeline_runs": ["pull_request_id", "head_sha", "status", "prompt_version", "config_hash", "task_count",
+                      "finding_count", "metadata", "started_at", "created_at", "updated_at"],
+    "review_tasks": ["pull_request_id", "pipeline_run_id", "task_type", "file_path", "risk_score", "model_id", "status",
+                     "created_at"],
+    "findings": ["review_task_id", "pull_request_id", "pipeline_run_id", "file_path", "category", "confidence_tier",
+                 "confidence_score", "severity", "title", "body", "location_hash", "head_sha",
+                 "addressed_in_next_commit", "model_id", "metadata", "created_at", "updated_at"],
+    "dismissed_fingerprints": ["fingerprint", "repo_full_name", "dismissed_by", "created_at"],
+    "finding_events": ["finding_id", "event_type", "actor", "metadata", "created_at"],
+}
+ALLOWED = {
+    "pull_requests": {"state": PR_STATES},
+    "pipeline_runs": {"status": RUN_STATUSES},
+    "review_tasks": {"task_type": TASK_TYPES, "status": TASK_STATUSES},
+    "findings": {"category": CATEGORIES, "confidence_tier": CONFIDENCE_TIERS, "severity": SEVERITIES},
+}
+FOREIGN_KEYS = {
+    "pipeline_runs": {"pull_request_id": "pull_requests"},
+    "review_tasks": {"pull_request_id": "pull_requests", "pipeline_run_id": "pipeline_runs"},
+    "findings": {"review_task_id": "review_tasks", "pull_request_id": "pull_requests", "pipeline_run_id": "pipeline_runs"},
+    "finding_events": {"finding_id": "findings"},
+}
+# ---------------------------------------------------------------------------
+
+
+def validate(df: DataFrame, table: str, parents: dict[str, DataFrame]) -> DataFrame:
+    """A10: the rows of a table that its constraints refuse, with ``reasons``.
+
+    Checked are the NOT NULL columns that ``df`` carries, enums, the score's
+    range and foreign keys into ``parents`` (one equi join per key)."""
+    checks = [F.when(F.col(c).isNull(), f"{c}_null") for c in NOT_NULL[table] if c in df.columns]
+    checks += [F.when(~F.col(c).isin(*values), f"bad_{c}") for c, values in ALLOWED.get(table, {}).items()]
+    if table == "findings":
+        checks.append(F.when(~F.col("confidence_score").between(0, 1), "score_out_of_range"))
+    for c, parent in FOREIGN_KEYS.get(table, {}).items():
+        known = parents[parent].select(F.col("id").alias(c)).distinct().withColumn(f"_{c}", F.lit(True))
+        df = df.join(known, c, "left")
+        checks.append(F.when(F.col(c).isNotNull() & F.col(f"_{c}").isNull(), f"missing_{c}"))
+    df = df.withColumn("reasons", F.concat_ws(",", *checks)).filter(F.col("reasons") != "")
+    return df.drop(*[f"_{c}" for c in FOREIGN_KEYS.get(table, {})])
 
 
 def merge_meta(df: DataFrame, updates: dict[str, Column], col: str = "metadata") -> DataFrame:

@@ -169,18 +169,33 @@ def q_dismiss(spark, d):
     return M.dismiss(v.dismissed_fingerprints, new)
 
 
+def _arriving(v) -> dict:
+    """The review tables as a careless writer would send them: some rows break a constraint."""
+    def broken(df, key, **rules):
+        return df.withColumns({c: F.when(F.col(key) % n == 0, F.lit(value)).otherwise(F.col(c))
+                               for c, (n, value) in rules.items()})
+    return {
+        "pull_requests": broken(v.pull_requests, "id", state=(101, "draft"), author=(103, None)),
+        "pipeline_runs": broken(v.pipeline_runs, "id", status=(101, "paused"), prompt_version=(103, None),
+                                pull_request_id=(107, -1)),
+        "review_tasks": broken(v.review_tasks, "id", task_type=(101, "other"), model_id=(103, None),
+                               pipeline_run_id=(107, -1)),
+        "findings": broken(v.findings, "pull_request_id", severity=(101, "blocker"), title=(103, None),
+                           confidence_score=(107, 1.5), review_task_id=(109, -1), pipeline_run_id=(113, -1)),
+        "finding_events": broken(v.finding_events, "id", finding_id=(101, "none"), actor=(103, None)),
+    }
+
+
 @entry("validate_rows")
 def q_validate(spark, d):
+    """A10: refused rows with their reasons."""
     v = views(spark, d)
-    parts = [M.validate_findings(v.findings, v.pull_requests).select(F.lit("findings").alias("tbl"), "errors"),
-             M.validate_generic(v.pull_requests, "pull_requests").select(F.lit("pull_requests").alias("tbl"), "errors"),
-             M.validate_generic(v.pipeline_runs, "pipeline_runs").select(F.lit("pipeline_runs").alias("tbl"), "errors"),
-             M.validate_generic(v.review_tasks, "review_tasks").select(F.lit("review_tasks").alias("tbl"), "errors")]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("tbl").agg(F.count(F.lit(1)).alias("rows"),
-                                F.count_if(F.size("errors") > 0).alias("rejected"))
+    tables, u = _arriving(v), None
+    for name, df in tables.items():
+        r = M.validate(df, name, {t: getattr(v, t) for t in tables}).select(
+            F.lit(name).alias("tbl"), F.col("id").cast("string").alias("id"), "reasons")
+        u = r if u is None else u.unionByName(r)
+    return u
 
 
 @entry("metadata_merge")
@@ -421,16 +436,15 @@ def q_c9(spark, d):
 
 @entry("foreign_key_violations")
 def q_c12(spark, d):
+    """Rows of every child table whose parent is missing, for each of the seven keys."""
     v = views(spark, d)
-    a = M.foreign_key_violations(v.findings, v.pull_requests, "pull_request_id").select(
-        F.lit("findings.pull_request_id").alias("fk"), F.col("id").cast("string").alias("child_id"))
-    b = M.foreign_key_violations(v.review_tasks, v.pipeline_runs, "pipeline_run_id").select(
-        F.lit("review_tasks.pipeline_run_id").alias("fk"), F.col("id").cast("string").alias("child_id"))
-    c = M.foreign_key_violations(v.finding_events, v.findings, "finding_id").select(
-        F.lit("finding_events.finding_id").alias("fk"), F.col("id").cast("string").alias("child_id"))
-    e = M.foreign_key_violations(v.pipeline_runs, v.pull_requests, "pull_request_id").select(
-        F.lit("pipeline_runs.pull_request_id").alias("fk"), F.col("id").cast("string").alias("child_id"))
-    return a.unionByName(b).unionByName(c).unionByName(e)
+    tables, u = _arriving(v), None
+    for child, keys in M.FOREIGN_KEYS.items():
+        for fk, parent in keys.items():
+            r = M.foreign_key_violations(tables[child], getattr(v, parent), fk).select(
+                F.lit(f"{child}.{fk}").alias("fk"), F.col("id").cast("string").alias("child_id"))
+            u = r if u is None else u.unionByName(r)
+    return u
 
 
 # --------------------------------------------------------------------- 2.D
