@@ -912,6 +912,22 @@ def q_j8(spark, d):
     return ev.select("finding_id", "event_type", "new_value", "seq")
 
 
+@entry("write_tables")
+def q_a17(spark, d):
+    """A review written to its own folder and read back: every row with its partition."""
+    import uuid
+
+    from .session import ensure_checkpoint_dir
+    from .sources.sinks import write_review
+    v = views(spark, d)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/review-{uuid.uuid4().hex}"
+    out = write_review(_triaged(v), v.findings, v.pull_requests, folder)
+    rows = [out[t].select(F.lit(t).alias("tbl"), F.col(i).alias("id"), F.col(p).alias("part"))
+            for t, i, p in (("findings", "id", "decision"), ("finding_events", "finding_id", "event_type"),
+                            ("comment_outbox", "id", "kind"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @entry("scorecard")
 def q_j10(spark, d):
     from .plans.summary import scorecard
