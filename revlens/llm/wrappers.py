@@ -12,8 +12,8 @@ footers, sidebars, notices, adverts, forms, comments), is the result, in page or
 
 Wrappers are learned from all pages: every task aligns the pages it reads and gives one tree per
 host, of at most ``MOST_NODES`` nodes; trees of a host are then aligned with each other. A hot host
-thus sends as many small trees as there are tasks. Pages meet their wrapper in a join salted by
-page, so a hot host's pages stay spread.
+thus sends as many small trees as there are tasks. Pages meet their wrapper by a broadcast while all
+wrappers together are small, else in a join salted by page, so a hot host's pages stay spread.
 
 Defined results: a null or empty html, and a page without content, give an empty text; a null or
 odd url counts as host ''; a single page of a host is its own wrapper; repeated rows are kept; an
@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import bound_batches, known_id, null_id, slices
+from revlens.llm.common import bound_batches, known_id, null_id, slices, stored
 
 #: Nodes of a wrapper beyond which those seen on one page only are left out.
 MOST_NODES = 400
@@ -40,7 +40,9 @@ MOST_NODES = 400
 MOST_DEPTH = 150
 #: A semantic container must hold this share of a host's text, another node that share.
 SEMANTIC_SHARE, OTHER_SHARE = 0.25, 0.7
-SALTS = 16
+#: Wrappers of up to so many bytes in all are broadcast; beyond that pages are joined, each host's
+#: dealt to SALTS tasks.
+BROADCAST_BYTES, SALTS = 16 << 20, 16
 
 # Elements and their parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -431,9 +433,15 @@ def _rows(trees: dict[str, Slot]) -> pd.DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
-    salted = pages.select(known_id("page_id"), "url", "html", host_of().alias("host"),
-                          F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    wrappers = learn_wrappers(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = pages.select(known_id("page_id"), "url", "html", host_of().alias("host"))
+    wrappers = stored(learn_wrappers(pages), "wrappers")
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # the pages stay where they are read
+        met = own.join(F.broadcast(wrappers), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        every = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = own.withColumn("salt", salt).join(every, ["host", "salt"], "left").drop("salt")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[Slot, list[int]]] = {}
@@ -451,6 +459,5 @@ def main_texts(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out,
                                 "n_chars": [len(t) for t in out]})
 
-    return (salted.join(wrappers, ["host", "salt"], "left").drop("salt")
-            .mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    return (met.mapInPandas(texts, "page_id long, url string, text string, n_chars long")
             .withColumn("page_id", null_id("page_id")))

@@ -305,7 +305,9 @@ def page(i, body):
             f"<div class=sidebar><p>Popular {i}</div><div id='comments'><p>Nice post {i}</div><footer>&copy; {i}</footer>")
 
 
-def test_main_texts(spark):
+@pytest.mark.parametrize("most", [0, 16 << 20])
+def test_main_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", most)
     rows, want = [], {}
     for i in range(12):
         body = (f"<div class='col'><h2>Title &amp; {i}</h2><p>First  <b>bold</b> part {i}.<br>Next line<p>Second part {i}, long "
