@@ -135,14 +135,14 @@ class LanguageModel:
     def cached(self, words: list[str]) -> np.ndarray:
         """Row numbers of words in the worker's cache of scores."""
         if len(self._place) > self.settings.cached_words:
-            self._place, self._scores = {}, None
+            self._place, self._scores, self._letters = {}, None, None
         new = [w for w in dict.fromkeys(words) if w not in self._place]
         if new:
             self._place.update(zip(new, range(len(self._place), len(self._place) + len(new)), strict=True))
             scores, letters = self.word_scores(new)
-            self._scores = scores if self._scores is None else np.concatenate([self._scores, scores])
-            self._letters = letters if self._letters is None or len(self._letters) + len(letters) != len(
-                self._scores) else np.concatenate([self._letters, letters])
+            if self._scores is not None:
+                scores, letters = np.concatenate([self._scores, scores]), np.concatenate([self._letters, letters])
+            self._scores, self._letters = scores, letters
         return np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
