@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import keyed_lag, latest_per_key
+from .windows import latest_per_key
 
 
 def prior_finding(findings: DataFrame, lookups: DataFrame | None = None,
@@ -28,14 +28,6 @@ def prior_finding(findings: DataFrame, lookups: DataFrame | None = None,
         .join(top, ["location_hash", "repo_full_name"], "left")
 
 
-def predecessor(findings: DataFrame, bucket_unit: str = "day") -> DataFrame:
-    """C1 per finding: the previous finding of the same location in the repo
-    (created_at, id order), as an as-of style lag without a self join."""
-    bucket = F.date_trunc(bucket_unit, F.col("created_at").cast("timestamp"))
-    return keyed_lag(findings, ["location_hash"], ["created_at", "id"], ["id", "created_at"],
-                     bucket, prefix="prev_")
-
-
 def with_dismissed_flag(findings: DataFrame, dismissed: DataFrame) -> DataFrame:
     """EXISTS test as a left join to the distinct dismissed keys."""
     keys = dismissed.select(F.col("fingerprint").alias("location_hash"), "repo_full_name") \
