@@ -10,6 +10,11 @@ the varying text, else the deepest node that holds most of it. A page's nodes ar
 wrapper, and the text below its content nodes, without elements of other roles (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), is the result, in page order.
 
+Elements, roles and hidden elements are of another role for certain. A word of a class or id only
+makes a candidate, and the host's wrapper decides by label: a candidate that holds the content (the
+article or main element, or most of the varying text) is none, nor is a section of an article that
+has the word in its id only, if its text varies or few pages have it.
+
 Wrappers are learned from all pages: every task aligns the pages it reads and gives one tree per
 host, of at most ``MOST_NODES`` nodes; trees of a host are then aligned with each other. A hot host
 thus sends as many small trees as there are tasks. Pages meet their wrapper by a broadcast while all
@@ -65,6 +70,16 @@ OTHER_WORDS = frozenset(
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu "
                         "menubar toolbar".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
+#: Of OTHER_WORDS, those of text by readers and advertisers, which can be longer than the article.
+FOREIGN_WORDS = frozenset(
+    "comment comments commentlist disqus reply replies respond ad ads adbox advert adverts advertisement advertising "
+    "sponsor sponsored promo promotion".split())
+#: A name that begins or ends so says what an element has or how it looks, not what it is.
+HAS_WORDS = frozenset("has no not with without hide show is supports".split())
+STATE_WORDS = frozenset("enabled disabled open closed on off".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Kinds of ``other``: for certain, by a word of a class or id, by a word of a section's id only.
+CERTAIN, NAMED, TITLED = 1, 2, 3
 MAIN_TAGS = ("article", "main")
 MAIN_WORDS = frozenset("article post entry story content main body text".split())
 
@@ -79,7 +94,7 @@ class Node:
 
     __slots__ = ("tag", "names", "other", "parts", "link_chars")
 
-    def __init__(self, tag: str, names: str = "", other: bool = False) -> None:
+    def __init__(self, tag: str, names: str = "", other: int = 0) -> None:
         self.tag, self.names, self.other = tag, names, other
         self.parts: list[str | Node] = []
         self.link_chars = 0
@@ -103,14 +118,32 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
-def is_other(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
-    """Whether an element plays a role that is not main text."""
-    words = {w.lower() for w in WORDS.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
+def role_words(names: str) -> set[str]:
+    """Words of OTHER_WORDS in class names or ids that name a role: not "has-sidebar", "share-enabled"."""
+    found = set()
+    for name in names.lower().split():
+        words = WORDS.findall(name)
+        if len(words) == 1 or words and words[0] not in HAS_WORDS and words[-1] not in STATE_WORDS:
+            found.update(w for w in words if w in OTHER_WORDS)
+    return found
+
+
+def is_other(tag: str, attrs: dict[str, str], in_main: bool) -> int:
+    """Whether an element plays a role that is not main text: 0, CERTAIN, NAMED or TITLED."""
+    named, own_id = attrs.get("class", ""), "" if tag in HEADINGS else attrs.get("id", "")
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get(
         "style", "").replace(" ", "").lower()
-    header = not in_main and (tag == "header" or bool(words & HEADER_WORDS))
-    return (tag in OTHER_TAGS or bool(words & OTHER_WORDS) and tag not in ("html", "body")
-            or attrs.get("role", "").lower() in OTHER_ROLES or hidden or header)
+    header = not in_main and (tag == "header" or tag not in MAIN_TAGS and any(
+        w.lower() in HEADER_WORDS for w in WORDS.findall(f"{named} {own_id}")))
+    if tag in OTHER_TAGS or attrs.get("role", "").lower() in OTHER_ROLES or hidden or header:
+        return CERTAIN
+    if tag in ("html", "body", "main"):
+        return 0
+    if named and role_words(named):
+        return NAMED
+    if own_id and role_words(own_id):
+        return TITLED if in_main and tag == "section" else NAMED
+    return 0
 
 
 def parse(source: str) -> Node:
@@ -174,7 +207,8 @@ def parse(source: str) -> Node:
                     close(k)
                     break
         in_main = any(s.tag in MAIN_TAGS for s in stack)
-        names = re.sub(r"\d+", "#", squeeze(attrs.get("class", "") + " " + attrs.get("id", "")))
+        own_id = "" if tag in HEADINGS else attrs.get("id", "")
+        names = re.sub(r"\d+", "#", squeeze(attrs.get("class", "") + " " + own_id))
         node = Node(tag, names, is_other(tag, attrs, in_main))
         if len(stack) > MOST_DEPTH and not node.other:
             say(" ")
@@ -191,7 +225,7 @@ class Slot:
 
     __slots__ = ("label", "other", "pages", "digest", "varies", "chars", "links", "children")
 
-    def __init__(self, label: str, other: bool) -> None:
+    def __init__(self, label: str, other: int) -> None:
         self.label, self.other, self.pages, self.digest, self.varies = label, other, 1, 0, False
         self.chars, self.links = 0, 0
         self.children: list[Slot] = []
@@ -302,21 +336,89 @@ def drop_rare(slot: Slot, least: int) -> None:
         drop_rare(c, least)
 
 
+def own_mass(slot: Slot, evidence: bool) -> int:
+    """Characters of a slot's own text that speak for content: they vary and aren't links."""
+    return max(0, slot.chars - 2 * slot.links) if slot.varies or not evidence or slot.pages == 1 else 0
+
+
+def decided(wrapper: Slot) -> dict[str, bool]:
+    """Whether candidates are of another role, by label."""
+    evidence = any_varies(wrapper)
+    masses: dict[int, int] = {}
+
+    def mass(slot: Slot) -> int:
+        """Text of a slot and below, without that for certain of another role and by others."""
+        if id(slot) not in masses:
+            masses[id(slot)] = own_mass(slot, evidence) + sum(
+                mass(c) for c in slot.children if c.other != CERTAIN and not foreign(c))
+        return masses[id(slot)]
+
+    total = mass(wrapper)
+
+    def holds(slot: Slot, in_article: bool) -> bool:
+        """Whether a main element, or an article that is in no other, of a fair share is here."""
+        tag = slot.label.split(".")[0]
+        if (tag == "main" or tag == "article" and not in_article) and mass(slot) >= max(1, SEMANTIC_SHARE * total):
+            return True
+        return any(holds(c, in_article or tag == "article") for c in slot.children
+                   if c.other != CERTAIN and not foreign(c))
+
+    def elsewhere(slot: Slot, but: Slot) -> bool:
+        """Whether such an element is outside ``but``, in no candidate."""
+        if slot is but or slot is not wrapper and slot.other:
+            return False
+        tag = slot.label.split(".")[0]
+        if tag in MAIN_TAGS and mass(slot) >= max(1, SEMANTIC_SHARE * total) and not below(slot, but):
+            return True
+        return any(elsewhere(c, but) for c in slot.children)
+
+    out: dict[str, bool] = {}
+
+    def decide(slot: Slot, in_article: bool) -> None:
+        if slot.other in (NAMED, TITLED):
+            rare = slot.other == TITLED and 2 * slot.pages < wrapper.pages
+            if foreign(slot):
+                other = not rare and mass(slot) <= 20 * total
+            elif slot.other == TITLED:
+                other = not rare and mass(slot) == 0
+            else:
+                other = not (holds(slot, in_article) or total and mass(slot) >= OTHER_SHARE * total
+                             and not elsewhere(wrapper, slot))
+            out[slot.label] = out.get(slot.label, True) and other
+        for c in slot.children:
+            decide(c, in_article or slot.label.startswith("article."))
+
+    decide(wrapper, False)
+    return out
+
+
+def foreign(slot: Slot) -> bool:
+    return slot.other in (NAMED, TITLED) and bool(role_words(slot.label.partition(".")[2]) & FOREIGN_WORDS)
+
+
+def below(slot: Slot, wanted: Slot) -> bool:
+    return slot is wanted or any(below(c, wanted) for c in slot.children)
+
+
+def left_out(x: Node | Slot, roles: dict[str, bool]) -> bool:
+    """Whether a node is of another role; sections that the wrapper doesn't know are rare ones."""
+    return x.other == CERTAIN or x.other and roles.get(x.label, x.other == NAMED)
+
+
 def content_path(wrapper: Slot) -> list[int]:
     """Where the content is: the way of child numbers from the root to the content slot."""
-    evidence = any_varies(wrapper)
+    evidence, roles = any_varies(wrapper), decided(wrapper)
 
     def mass(slot: Slot) -> int:
-        if slot.other:
+        if left_out(slot, roles):
             return 0
-        own = max(0, slot.chars - 2 * slot.links) if slot.varies or not evidence or slot.pages == 1 else 0
-        return own + sum(mass(c) for c in slot.children)
+        return own_mass(slot, evidence) + sum(mass(c) for c in slot.children)
 
     total = mass(wrapper)
     best: list[tuple[int, list[int]]] = []
 
     def search(slot: Slot, way: list[int]) -> None:
-        if slot.other:
+        if left_out(slot, roles):
             return
         if is_main(slot.label) and mass(slot) >= SEMANTIC_SHARE * total:
             best.append((mass(slot) * (4 if slot.label.split(".")[0] in MAIN_TAGS else 1), way))
@@ -355,16 +457,18 @@ def at(slot: Slot, way: list[int]) -> Slot:
     return slot
 
 
-def extract(source: str | None, wrapper: Slot, way: list[int]) -> str:
-    """Main text of a page under its host's wrapper."""
+def extract(source: str | None, wrapper: Slot, way: list[int], roles: dict[str, bool] | None = None) -> str:
+    """Main text of a page under its host's wrapper; ``roles`` are the wrapper's ``decided``."""
     if not source:
         return ""
     root = parse(source)
-    nodes = locate(root, wrapper, way)
-    if not nodes or not any(blocks(n) for n in nodes):  # the page is not of the host's common form
+    roles = decided(wrapper) if roles is None else roles
+    found = [b for n in locate(root, wrapper, way) for b in blocks(n, roles)]
+    if not found:  # the page is not of the host's common form
         own, _ = skeleton([root])
-        nodes = locate(root, own, content_path(own))
-    return "\n\n".join(b for n in nodes for b in blocks(n))
+        roles = decided(own) | {label: other for label, other in roles.items() if not other}
+        found = [b for n in locate(root, own, content_path(own)) for b in blocks(n, roles)]
+    return "\n\n".join(found)
 
 
 def locate(root: Node, wrapper: Slot, way: list[int]) -> list[Node]:
@@ -379,16 +483,16 @@ def locate(root: Node, wrapper: Slot, way: list[int]) -> list[Node]:
     return nodes
 
 
-def blocks(node: Node) -> list[str]:
+def blocks(node: Node, roles: dict[str, bool]) -> list[str]:
     """Texts of the blocks below a node, without nodes of other roles."""
-    if node.other:
+    if left_out(node, roles):
         return []
     out, run = [], []
     for p in node.parts:
         if isinstance(p, str):
             run.append(p)
-        elif not (p.tag in INLINE and p.other):
-            out += [squeeze("".join(run)), *blocks(p)]
+        elif not (p.tag in INLINE and left_out(p, roles)):
+            out += [squeeze("".join(run)), *blocks(p, roles)]
             run = []
     return [t for t in [*out, squeeze("".join(run))] if t]
 
@@ -444,7 +548,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
         met = own.withColumn("salt", salt).join(every, ["host", "salt"], "left").drop("salt")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[Slot, list[int]]] = {}
+        known: dict[str, tuple[Slot, list[int], dict[str, bool]]] = {}
         for pdf in slices(batches, text="html"):
             out = []
             for host, source, wrapper, way in zip(pdf["host"], pdf["html"], pdf["wrapper"], pdf["way"], strict=True):
@@ -454,7 +558,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 if host not in known:
                     if len(known) > 1_000:
                         known.clear()
-                    known[host] = Slot.of(json.loads(wrapper)), json.loads(way)
+                    tree = Slot.of(json.loads(wrapper))
+                    known[host] = tree, json.loads(way), decided(tree)
                 out.append(extract(source, *known[host]))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out,
                                 "n_chars": [len(t) for t in out]})

@@ -320,6 +320,36 @@ def test_main_texts(spark, monkeypatch, most):
     assert got == want
 
 
+@pytest.mark.parametrize("pages", [1, 8])
+@pytest.mark.parametrize("opening, closing", [
+    ('<div class="content has-sidebar">', "</div>"), ('<main class="site-main no-sidebar">', "</main>"),
+    ('<article class="post share-enabled">', "</article>"), ('<div class="sidebar-right"><article>', "</article></div>"),
+    ('<article class="notice">', "</article>"), ('<div class="widget">', "</div>"), ('<main id="search">', "</main>")])
+def test_words_of_layout_classes_do_not_drop_the_content(spark, pages, opening, closing):
+    rows, want = [], {}
+    for i in range(pages):
+        inner = (f"<h1>Title {i}</h1><p>First part {i}, which is long enough to be the text.</p><h2 id='related-work'>Related work</h2>"
+                 f"<p>Other part {i}, which is long as well.</p><h2 id='navigation'>Navigation</h2><p>Third part {i}.</p>")
+        rows.append((i, f"https://a.example.org/{i}", f"<html><body><nav>Menu</nav>{opening}{inner}{closing}"
+                     f"<div class='sidebar'><p>Popular {i}</p></div><div id='comments'><p>{'Nice post ' * 60}{i}</p></div></body></html>"))
+        want[i] = (f"Title {i}\n\nFirst part {i}, which is long enough to be the text.\n\nRelated work\n\nOther part {i}, which is long "
+                   f"as well.\n\nNavigation\n\nThird part {i}.")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_sections_with_titles_as_ids(spark):
+    rows = []
+    for i in range(6):
+        extra = "<section id='search'><h2>Search</h2><p>How pages are searched.</p></section>" if i == 2 else ""
+        rows.append((i, f"https://a.example.org/{i}", f"<body><article><p>Part {i} is the text.</p>{extra}<section id='related'><a href=x>See "
+                     f"page {i}</a></section><section id='newsletter'><p>Subscribe to us</p></section></article></body>"))
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Part {i} is the text." + "\n\nSearch\n\nHow pages are searched." * (i == 2) for i in range(6)}
+
+
 def test_article_of_sample_pages(spark):
     import html
     import re
