@@ -3,13 +3,18 @@
 1. Words are runs of letters and digits, lower-cased. A window of a document has as many words as a
    benchmark item, and its similarity to the item is the share of the weight of the item's distinct
    ``k``-word shingles that the window holds; a shingle weighs ln(1 + items / items that hold it).
-   A window without any shingle of the benchmark has similarity 0, so windows are taken only where
-   a document holds one: at the start this shingle has in its item, and as long as the item.
-2. Each window has a 64-bit SimHash of its words. Fingerprints are cut into ``radius + 1`` blocks;
-   two that differ in at most ``radius`` bits agree in one block at least, so a join on (length,
-   block, its bits) finds every item within the radius of a window.
-3. Candidates within the radius are verified by the exact similarity; those of ``least`` or more
-   are matches, the best window for each document and item.
+2. A window of similarity ``least`` misses shingles of at most 1 - ``least`` of the item's weight. So
+   each item has key shingles, its heaviest (rarest) ones that outweigh this together, of which every
+   match holds one at least. A join of the documents' shingles with the keys gives all (document,
+   item) pairs that can match; no match is lost.
+3. In these pairs windows begin at each shingle of the item that the document holds, and where the
+   item would begin if this shingle stood at its own place. The best window of all can be moved
+   right to such a start, or to the document's last window, without losing a shingle. All are
+   compared exactly; of those of ``least`` or more the best is the match of a document and an item.
+
+A match's ``distance`` is that of the 64-bit SimHashes of window and item: how far the wording
+differs. Nothing is left out by it. ``blocks_of`` cuts fingerprints into blocks of which two within
+``radius`` bits share one, to look up near wordings.
 
 The item side is broadcast while it has at most ``BROADCAST_ROWS`` rows; beyond that the joins are
 shuffled. Documents' texts take no part in a shuffle but those in which a shingle was found, or if
@@ -34,6 +39,8 @@ from revlens.llm.common import stored
 
 BROADCAST_ROWS = 1_000_000
 BITS = 64
+#: Sums of the same weights in other orders differ by less.
+ROUNDING = 1e-9
 
 
 @dataclass(frozen=True)
@@ -93,52 +100,65 @@ def document_key() -> Column:
     return F.xxhash64("doc_id", F.lit("\x00"), "text")
 
 
+def key_shingles(weights: Column, least: float) -> Column:
+    """Shingles of an item of which every window of similarity ``least`` holds one: its heaviest,
+    until the others weigh too little for a match."""
+    heaviest = F.sort_array(F.transform(weights, lambda x: F.struct(x["w"].alias("w"), x["h"].alias("h"))), asc=False)
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x["w"])
+    state = F.aggregate(
+        heaviest, F.struct(F.lit(0.0).alias("w"), F.array().cast("array<bigint>").alias("keys")),
+        lambda a, x: F.when(a["w"] > total * (1 - least + 2 * ROUNDING), a).otherwise(
+            F.struct((a["w"] + x["w"]).alias("w"), F.concat(a["keys"], F.array(x["h"])).alias("keys"))))
+    return state["keys"]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
     """Matches: doc, doc_id, item_id, similarity, first_word, n_words, distance. ``doc`` is the
     document's key, see ``document_key``."""
     s = s or Settings()
     items = benchmark_items(benchmark, s)
-    places = items.select("m", "width", F.posexplode("shingles").alias("offset", "h")).distinct()
+    keys = items.select("item", "width", F.explode(key_shingles(F.col("weights"), s.least)).alias("h"))
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # k values at most
-    small = places.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
+    small = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    hint = F.broadcast if small <= BROADCAST_ROWS else (lambda df: df)
     keyed = docs.select(document_key().alias("doc"), "doc_id", "text")
     found = []
     for k in widths:
-        at = keyed.select("doc", words_of(F.col("text")).alias("words")).select(
-            "doc", F.size("words").alias("n"), F.posexplode(shingles_of(F.col("words"), k)).alias("at", "h"))
-        found.append(at.join(hint(places.where(F.col("width") == k)), "h").select(
-            "doc", "m", F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("m"))).alias("start")))
-    empty = docs.sparkSession.createDataFrame([], "doc bigint, m int, start int")
-    windows = stored(reduce(DataFrame.unionByName, found, empty).distinct(), "leak-windows")
-    texts = keyed.join(windows.select("doc").distinct(), "doc").dropDuplicates(["doc"]).select(
-        "doc", "doc_id", words_of(F.col("text")).alias("words"))
-    marked = windows.join(texts, "doc").select(
-        "doc", "doc_id", "m", "start", F.slice("words", F.col("start") + 1, F.col("m")).alias("window"))
-    marked = marked.select("*", simhash(F.col("window")).alias("mark"))
-    marked = stored(marked, "leak-fingerprints")
-
-    def indexed(df: DataFrame) -> DataFrame:
-        return df.select("*", F.inline(blocks_of(F.col("mark"), s.radius)))
-
-    one = indexed(marked.select("doc", "m", "start", "mark"))
-    two = indexed(items.select("item", "m", F.col("mark").alias("item_mark"), "mark")).drop("mark")
-    near = (one.join(hint(two), ["m", "block", "bits"])
-            .select("doc", "m", "start", "item", F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))).alias("distance"))
-            .where(F.col("distance") <= s.radius).distinct())
-    both = near.join(marked.drop("mark"), ["doc", "m", "start"]).join(
-        hint(items.select("item", "item_id", "width", "weights")), "item")
-    own = F.coalesce(*[F.when(F.col("width") == k, shingles_of(F.col("window"), k)) for k in range(1, s.k + 1)])
-    both = both.withColumn("own", F.array_distinct(own))
-    common = F.filter("weights", lambda x: F.array_contains(F.col("own"), x["h"]))
-    total = F.aggregate(F.col("weights"), F.lit(0.0), lambda a, x: a + x["w"])
-    held = F.aggregate(common, F.lit(0.0), lambda a, x: a + x["w"])
-    both = both.withColumn("similarity", held / total)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "m", "distance")).alias("best")
-    return (both.where(F.col("similarity") >= s.least).groupBy("doc", "doc_id", "item", "item_id").agg(best)
-            .select("doc", "doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"),
-                    (-F.col("best.back")).alias("first_word"), F.col("best.m").alias("n_words"),
-                    F.col("best.distance").alias("distance")))
+        held = keyed.select("doc", words_of(F.col("text")).alias("words")).select(
+            "doc", F.explode(F.array_distinct(shingles_of(F.col("words"), k))).alias("h"))
+        found.append(held.join(hint(keys.where(F.col("width") == k).drop("width")), "h").select("doc", "item"))
+    empty = docs.sparkSession.createDataFrame([], "doc bigint, item bigint")
+    pairs = stored(reduce(DataFrame.unionByName, found, empty).distinct(), "leak-pairs")
+    texts = stored(keyed.join(pairs.select("doc").distinct(), "doc").dropDuplicates(["doc"]).select(
+        "doc", "doc_id", words_of(F.col("text")).alias("words")), "leak-texts")
+    places = items.select("item", "m", "width", F.posexplode("shingles").alias("offset", "h")).distinct()
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x["w"])
+    weighed = stored(items.select("item", "item_id", "m", "width", F.col("mark").alias("item_mark"), total.alias("total"),
+                                  F.map_from_entries("weights").alias("by_shingle")), "benchmark-maps")
+    last = F.greatest(F.lit(0), F.col("n") - F.col("m"))
+    found = []
+    for k in widths:
+        shingled = texts.select("doc", "doc_id", "words", F.size("words").alias("n"), shingles_of(F.col("words"), k).alias("shingles"))
+        # Only the shingles that an item holds meet the pairs.
+        hits = shingled.select("doc", "n", F.posexplode("shingles").alias("at", "h")).join(
+            hint(places.where(F.col("width") == k)), "h").join(pairs, ["doc", "item"], "left_semi")
+        windows = hits.select("doc", "item", F.explode(F.array(
+            F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), last)), F.least(F.col("at"), last))).alias("start")).distinct()
+        own = F.array_distinct(F.slice("shingles", F.col("start") + 1, F.greatest(F.lit(1), F.col("m") - k + 1)))
+        held = F.aggregate(own, F.lit(0.0), lambda a, h: a + F.coalesce(F.element_at("by_shingle", h), F.lit(0.0)))
+        found.append(windows.join(hint(weighed.where(F.col("width") == k)), "item").join(shingled, "doc").select(
+            "doc", "doc_id", "item", "item_id", "m", "item_mark", "start", (held / F.col("total")).alias("similarity"),
+            F.slice("words", F.col("start") + 1, F.col("m")).alias("window")).where(F.col("similarity") >= s.least - ROUNDING))
+    none = docs.sparkSession.createDataFrame([], found[0].schema) if found else docs.sparkSession.createDataFrame(
+        [], "doc bigint, doc_id bigint, item bigint, item_id bigint, m int, item_mark bigint, start int, similarity double, "
+            "window array<string>")
+    both = reduce(DataFrame.unionByName, found, none)
+    best = F.max_by(F.struct("similarity", "start", "m", "window", "item_mark"),
+                    F.struct("similarity", -F.col("start"))).alias("best")
+    best = both.groupBy("doc", "doc_id", "item", "item_id").agg(best)
+    return best.select("doc", "doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"),
+                       F.col("best.start").alias("first_word"), F.col("best.m").alias("n_words"),
+                       F.bit_count(simhash(F.col("best.window")).bitwiseXOR(F.col("best.item_mark"))).alias("distance"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:

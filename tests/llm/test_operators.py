@@ -112,6 +112,46 @@ def test_leaks_equal_brute_force(spark):
     assert len(want) > 30 and {k: pytest.approx(v, abs=1e-5) for k, v in want.items()} == got
 
 
+def test_far_wordings_of_items_equal_brute_force(spark):
+    """Passages at the threshold: cut, shifted, with words inserted, without the items' preamble."""
+    rnd = random.Random(15)
+    preamble = [f"p{i}" for i in range(14)]
+    items = [(i, " ".join((preamble if i % 2 else []) + words(rnd, rnd.randint(24, 40), 5000))) for i in range(60)]
+    docs, kinds = [], ["tail", "both", "insert", "preamble"]
+    for d in range(400):
+        i = rnd.randrange(60)
+        w, kind = items[i][1].split(), kinds[d % 4]
+        cut = rnd.randint(1, len(w) // 4)
+        if kind == "tail":
+            w[-cut:] = words(rnd, cut, 5000)
+        elif kind == "both":
+            w[:cut // 2], w[len(w) - cut // 2:] = words(rnd, cut // 2, 5000), words(rnd, cut // 2, 5000)
+        elif kind == "insert":
+            at = rnd.randrange(len(w))
+            w[at:at] = words(rnd, rnd.randint(1, 6), 5000)
+        elif i % 2:
+            w = w[14:]
+        docs.append((d, " ".join(words(rnd, rnd.randint(0, 60), 5000) + w + words(rnd, rnd.randint(0, 60), 5000))))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()}
+    shingles = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in items}
+    held = Counter(s for x in shingles.values() for s in x)
+    weights = {s: math.log(1 + len(items) / n) for s, n in held.items()}
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        of = [tuple(w[a:a + 5]) for a in range(len(w) - 4)]
+        for i, item in items:
+            if shingles[i].isdisjoint(of):
+                continue
+            m = len(item.split())
+            best = max(sum(weights[s] for s in shingles[i] & set(of[a:a + m - 4])) for a in range(max(1, len(w) - m + 1)))
+            if (best := best / sum(weights[s] for s in shingles[i])) >= 0.8 - 1e-9:
+                want[d, i] = best
+    assert len(want) > 150 and {k: pytest.approx(v, abs=1e-5) for k, v in want.items()} == got
+
+
 def test_decontamination_is_native(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
