@@ -53,6 +53,10 @@ class PieceEncoder(dict):
     further after every run of letters and between a single line feed and a letter. The tokenizer's own splitting always begins a new word
     there, so the ids of the pieces, put together, are the ids of the text. The mapping itself is
     the cache: piece to its ids as bytes.
+
+    Added tokens (as <|endoftext|>) in a text are their own ids, as in the library's plain call: a
+    text is cut at them first. If one of them takes white space or depends on what is beside it, or
+    the tokenizer normalizes texts, texts that hold an added token are encoded by that call.
     """
 
     def __init__(self, tokenizer_path: str, cache_pieces: int = CACHE_PIECES) -> None:
@@ -61,12 +65,18 @@ class PieceEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache_pieces, self.chars = cache_pieces, 0
         with open(tokenizer_path, encoding="utf-8") as f:
             parts = json.load(f)
         before = parts.get("pre_tokenizer") or {}
+        added = parts.get("added_tokens") or []
+        self.added = {t["content"]: np.array([t["id"]], self.dtype).tobytes() for t in added if t["content"]}
+        # Of tokens that begin at one place the longest is taken.
+        self.any_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") \
+            if self.added else None
+        self.cut_at_added = parts.get("normalizer") is None and not before.get("add_prefix_space") and not any(
+            t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
         #: Then a word of letters goes to the model as it is, each byte as its printable character.
         self.plain = parts.get("normalizer") is None and before.get("type") == "ByteLevel" and \
             not before.get("add_prefix_space") and parts["model"]["type"] == "BPE"
@@ -99,6 +109,15 @@ class PieceEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as bytes of ``dtype``."""
+        if self.any_added and self.any_added.search(text):
+            if not self.cut_at_added:
+                return array(self.dtype.char, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            parts = self.any_added.split(text)  # every second one is an added token
+            return b"".join([self.added[t] if i % 2 else self.encode_plain(t) for i, t in enumerate(parts)])
+        return self.encode_plain(text)
+
+    def encode_plain(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if not text:
             return b""
         if ("  " in text or "\n " in text or " \n" in text or "\x00" in text or text[0].isspace()

@@ -443,6 +443,21 @@ def test_pieces_put_together_are_the_text(spark):
     assert [np.frombuffer(e.encode(t), e.dtype).tolist() for t in texts] == want
 
 
+def test_added_tokens_are_encoded_as_by_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, rnd = Tokenizer.from_file(path), random.Random(16)
+    bits = ["a", " b", "  ", "\n", "<|endoftext|>", "<|endoftext", "|>", " <|endoftext|> ", "Word", "\xa0", "é", "."]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x"]
+    texts += ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 15))) for _ in range(2000)]
+    e = token_files.PieceEncoder(path)
+    assert [np.frombuffer(e.encode(t), e.dtype).tolist() for t in texts] == [
+        plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(e.encode(texts[0]), e.dtype).tolist() == [64, 220, 50256, 275]
+
+
 # ------------------------------------------------------------------ Jaccard join
 def jaccard_brute_force(docs, cfg):
     sets = {}
