@@ -6,8 +6,9 @@ rows as Parquet into the shared folder and rereads them as the next one's input,
 computed twice and a lost executor costs one stage at most.
 
 Nulls and odd rows: a null text is scored as an empty one by the quality stage, has no language and
-so goes in the second stage; rows without a doc_id are nobody's copy and stay in the third; rows
-that repeat id and text are one document there; empty tables pass through as empty tables.
+so goes in the second stage; in the third, a row without a doc_id is a copy like any other, and is
+kept only if no row of its group has an id; rows that repeat id and text are one document there, but
+rows without id and words all stay; empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -38,14 +39,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates (operator 10)."""
     docs = docs.select(*COLUMNS)
-    groups = count_rtree.jaccard_components(docs, NEAR)
-    copies = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(copies, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = stored(count_rtree.component_rows(docs, NEAR), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    first = rows.where("root is not null").groupBy("root").agg(F.min(order).alias("kept"))
+    copies = rows.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("t") == F.col("kept.t"))))
+    copies = stored(copies.select(F.col("doc_id").alias("copy_id"), F.col("t").alias("copy_t")).distinct(), "copies")
+    numbered = docs.withColumn("t", count_rtree.text_number())
+    kept = numbered.join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("t") == F.col("copy_t")), "left_anti")
+    repeated = stored(rows.where("doc_id is not null or root is not null").groupBy("doc_id", "t").count().where("count > 1")
+                      .select(F.col("doc_id").alias("copy_id"), F.col("t").alias("copy_t")), "repeated")
     if not repeated.take(1):
         return kept.select(*COLUMNS)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    again = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("t") == F.col("copy_t"))
+    once = kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "t"])
+    return kept.join(repeated, again, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -501,6 +501,31 @@ def test_jaccard_equals_brute_force(spark, cfg, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == jaccard_brute_force(docs, cfg)
 
 
+def test_rows_of_null_and_repeated_ids_are_linked_by_their_texts(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(17)
+    rows, want, kept = [], [], []
+    for g in range(12):
+        base = words(rnd, 100, 5000)
+        near = [" ".join([*base[:k], f"x{g}", *base[k + 1:]]) for k in (2, 97, 98)]
+        # A null id in each group, 500 in every third one with another text; groups 10 and 11 have no id.
+        group = [(None, near[0]), (None, near[0]), (None, " ".join(base))]
+        group += [(10 + g, near[1]), (500 if g % 3 == 0 else 30 + g, near[2])] if g < 10 else []
+        rows += group
+        least = 10 + g if g < 10 else None
+        want += [(i, least) for i, _ in group]
+        kept.append((least, near[1] if g < 10 else None))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["component_id"]) for r in count_rtree.jaccard_components(df).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    docs = df.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.length("text")})
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    assert sorted(i for i, _ in left if i is not None) == list(range(10, 20))
+    assert {t for i, t in left if i is not None} == {t for i, t in kept if i is not None} and len(left) == 12
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(13)
     for cfg in (count_rtree.Settings(), count_rtree.Settings(num=80)):
