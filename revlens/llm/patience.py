@@ -3,12 +3,19 @@
 A text and a license template are aligned on the words that occur exactly once in both: the longest
 increasing subsequence of their positions gives the anchors, and the gaps between anchors are
 aligned the same way, down to gaps without unique common words, of which equal beginnings and ends
-still count. The coverage is the share of the template's words that are aligned.
+still count. The coverage is the number of aligned words by that of the template's words, or of the
+words the match spans if they are more: words put in count against it.
 
-A match of coverage ``least`` or more holds at least one of any floor((1 - least) words) + 1 words
-of the template. So each template has that many key words, its longest, and only stretches of a text
-around its key words are aligned; no text is cut short. Stretches end where no key word follows for
-a template's length. Of overlapping matches, the one that aligns the most words is reported.
+Names and numbers of a template (``NAMES``, versions) must all be aligned, and a match may hold no
+word of ``MARKS`` that its template lacks ("Lesser", "NC"): so one license isn't taken for another.
+
+A match thus holds the longest name of its template, which is its key word. In a template without
+names, a match of coverage ``least`` or more holds at least one of any floor((1 - least) words) + 1
+words, and that many of its longest are the key words. Only stretches of a text around key words are
+aligned; no text is cut short. Stretches end where no key word follows for a template's length.
+Windows begin where a template would begin that has its key word there, so notices one after
+another are each aligned, and in even steps. Of overlapping matches, the one that aligns the most
+words, less those put in, is reported. Licenses without a template are not found.
 
 Defined results: null and empty texts and texts without key words give no rows; a null doc_id is
 carried; rows repeated in the input are scanned one by one; an empty table gives no rows.
@@ -63,7 +70,56 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-statement": "Licensed under CC BY-NC 4.0.",
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."),
+    "AGPL-3.0-statement": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."),
+    "LGPL-3.0-statement": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+        "your option) any later version."),
+    "LGPL-2.1-statement": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."),
+    "GPL-2.0-statement": "This work is licensed under the GNU General Public License, version 2.",
+    "BSD-statement": "Released under the BSD License.",
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "ISC-statement": "Released under the ISC License.",
+    "MPL-2.0-statement": "Licensed under the Mozilla Public License, Version 2.0.",
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0"),
+    "EPL-2.0-statement": "Licensed under the Eclipse Public License, Version 2.0.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0": "This work is licensed under a Creative Commons CC0 1.0 Universal License.",
+    "CC0-1.0-statement": "Licensed under CC0 1.0.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "CC-BY-NC-ND-4.0": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    "CC-BY-statement": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-statement": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-statement": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-statement": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-statement": "Licensed under CC BY-NC-ND 4.0.",
 }
+#: Words that tell licenses apart: they must not be in a match whose template lacks them.
+MARKS = frozenset("lesser affero noncommercial noncommercially sharealike noderivatives noderivs nc sa nd cc0".split())
+#: Words of templates that a match must have, besides numbers.
+NAMES = MARKS | frozenset("mit apache gnu mozilla mpl bsd isc eclipse boost unencumbered creative commons cc attribution".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -120,6 +176,9 @@ class Template:
     name: str
     words: list[str]
     keys: frozenset[str]
+    #: Words that must be aligned, and the places of the key words.
+    needed: frozenset[str]
+    key_places: dict[str, list[int]]
 
 
 def prepared(templates: dict[str, str], least: float) -> list[Template]:
@@ -134,7 +193,11 @@ def prepared(templates: dict[str, str], least: float) -> list[Template]:
                 break
             keys.append(w)
             n += count[w]
-        out.append(Template(name, words, frozenset(keys)))
+        needed = frozenset(w for w in words if w in NAMES or w.isdigit())
+        if names := sorted(w for w in needed if not w.isdigit()):
+            keys = [max(names, key=len)]
+        out.append(Template(name, words, frozenset(keys), needed,
+                            {k: [j for j, w in enumerate(words) if w == k] for k in keys}))
     return out
 
 
@@ -161,15 +224,25 @@ def matches(text: list[str], templates: list[Template], least: float) -> list[tu
     found = []
     for t in templates:
         n = len(t.words)
+        most = n * 100 // round(least * 100)  # words that a match can span
+        begins = {max(0, i - j) for w in t.keys for i in places.get(w, ()) for j in t.key_places[w]}
+        # As long as the template, so without words of a next notice, and with room for words put in.
+        windows = {(c, min(len(text), c + size)) for c in begins for size in (n, most)}
         for a, b in stretches(text, t, places):
             # Windows of twice the template's length, half a length apart: a notice that is no longer
             # than one and a half lengths lies whole in one of them, with little of the next notice.
-            for c in range(a, max(a + 1, b - n), max(1, n // 2)):
-                pairs = align(text[c:min(b, c + 2 * n + 2)], t.words)
-                if len(pairs) >= least * n and (span := pairs[-1][0] - pairs[0][0] + 1) <= 1.5 * n + 2:
-                    found.append((t.name, len(pairs) / n, c + pairs[0][0], span, len(pairs)))
+            windows |= {(c, min(b, c + 2 * n + 2)) for c in range(a, max(a + 1, b - n), max(1, n // 2))}
+        for c, end in sorted(windows):
+            pairs = align(text[c:end], t.words)
+            if len(pairs) < least * n:
+                continue
+            first, span = c + pairs[0][0], pairs[-1][0] - pairs[0][0] + 1
+            coverage = len(pairs) / max(n, span)
+            if coverage >= least and t.needed <= {t.words[j] for _, j in pairs} and all(
+                    w in t.needed for w in MARKS.intersection(text[first:first + span])):
+                found.append((t.name, coverage, first, span, len(pairs)))
     kept: list[tuple[str, float, int, int, int]] = []
-    for m in sorted(set(found), key=lambda m: (-m[4], -m[1], m[3], m[2], m[0])):
+    for m in sorted(set(found), key=lambda m: (m[3] - 2 * m[4], -m[1], m[3], m[2], m[0])):
         if all(m[2] + m[3] <= k[2] or k[2] + k[3] <= m[2] for k in kept):
             kept.append(m)
     return sorted(kept, key=lambda m: m[2])

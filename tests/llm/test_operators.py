@@ -329,6 +329,32 @@ def test_license_scan(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("text, want", [
+    (patience.TEMPLATES["GPL-3.0"].replace("GNU", "GNU Affero"), ["AGPL-3.0"]),
+    (patience.TEMPLATES["GPL-3.0"].replace("GNU", "GNU Lesser"), ["LGPL-3.0"]),
+    (patience.TEMPLATES["GPL-3.0"].replace("version 3", "version 2"), ["GPL-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0-statement"]),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-statement"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+    ("Released under the BSD License.", ["BSD-statement"]), ("Licensed under CC BY 4.0.", ["CC-BY-statement"]),
+    ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-statement"]), ("Released under the Foo License.", []),
+    ("This work is licensed under the GNU General Public License, version 7.", []),
+    (patience.TEMPLATES["MIT"].replace("Permission", "Right", 1) * 3, ["MIT"] * 3),
+    ("Released under the MIT License. " * 4, ["MIT-statement"] * 4)])
+def test_licenses_are_told_apart(text, want):
+    got = patience.matches(patience.words_of("some words before " + text + " and after"),
+                           patience.prepared(patience.TEMPLATES, patience.LEAST), patience.LEAST)
+    assert [m[0] for m in got] == want
+
+
+def test_inserted_words_count_against_a_match():
+    known = patience.prepared(patience.TEMPLATES, patience.LEAST)
+    w = patience.words_of(patience.TEMPLATES["ISC"])
+    few, many = ([x for i, v in enumerate(w) for x in [v, *["more"] * (i % k == 0)]] for k in (10, 3))
+    assert [m[0] for m in patience.matches(few, known, patience.LEAST)] == ["ISC"]
+    assert patience.matches(few, known, patience.LEAST)[0][1] < 1 and not patience.matches(many, known, patience.LEAST)
+
+
 def test_license_lines_of_documents(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet")
     line = "Released under the MIT License."
