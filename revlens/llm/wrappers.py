@@ -31,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -150,6 +151,7 @@ def parse(source: str) -> Node:
     """The page's tree of block elements; lenient about missing and stray tags."""
     root = Node("root")
     stack, links, at, n = [root], 0, 0, len(source)
+    opened: Counter[str] = Counter()  # open elements by name
     skipped: list[str] = []  # open elements below one of another role that are inline
 
     def say(text: str) -> None:
@@ -160,6 +162,11 @@ def parse(source: str) -> Node:
                 stack[-1].link_chars += len(text)
 
     def close(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+            if node.parts is stack[k - 1].parts:  # below MOST_DEPTH: its end is that of a block
+                node.parts.append(Node("end"))
+                stack[k - 1].link_chars += node.link_chars
         del stack[k:]
 
     while at < n:
@@ -187,7 +194,7 @@ def parse(source: str) -> Node:
                 say(" ")
             continue
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     if tag in skipped:
@@ -200,22 +207,26 @@ def parse(source: str) -> Node:
             close(len(stack) - 1)
         if tag in IMPLIED:
             ended, stops = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ended) else ():
                 if stack[k].tag in stops:
                     break
                 if stack[k].tag in ended:
                     close(k)
                     break
-        in_main = any(s.tag in MAIN_TAGS for s in stack)
+        in_main = any(opened[t] for t in MAIN_TAGS)
         own_id = "" if tag in HEADINGS else attrs.get("id", "")
         names = re.sub(r"\d+", "#", squeeze(attrs.get("class", "") + " " + own_id))
         node = Node(tag, names, is_other(tag, attrs, in_main))
-        if len(stack) > MOST_DEPTH and not node.other:
-            say(" ")
-            continue
-        stack[-1].parts.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
+        holds = tag not in VOID and not m[4].endswith("/")
+        if len(stack) > MOST_DEPTH and (not node.other or stack[-1].other):
+            # Its text is said to the element at that depth, as blocks; it is open until it is closed.
+            node.parts, node.other = stack[-1].parts, stack[-1].other
+            node.parts.append(Node("end"))
+        else:
+            stack[-1].parts.append(node)
+        if holds:
             stack.append(node)
+            opened[tag] += 1
             links = 0 if tag not in INLINE else links
     return root
 

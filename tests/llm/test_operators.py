@@ -416,6 +416,16 @@ def test_sections_with_titles_as_ids(spark):
     assert got == {i: f"Part {i} is the text." + "\n\nSearch\n\nHow pages are searched." * (i == 2) for i in range(6)}
 
 
+def test_text_after_deep_elements_stays_in_the_article(spark):
+    deep = "<div>" * 200 + "<p>Deep one</p><div class='ad'>Buy</div><p>Deep two</p>" + "</div>" * 200
+    rows = [(i, f"https://a.example.org/{i}", f"<body><div><article><p>Before {i}</p>{deep}<p>After {i}</p></article></div>"
+             f"<nav>Menu</nav></body>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Before {i}\n\nDeep one\n\nDeep two\n\nAfter {i}" for i in range(3)}
+    wrappers.skeleton([wrappers.parse("<nav>" * 5000 + "x")])
+
+
 def test_article_of_sample_pages(spark):
     import html
     import re
