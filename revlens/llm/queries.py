@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import binary_codes, count_rtree, decontam, katz, langid, packing, patience, quality, token_files, wrappers
-from revlens.llm.common import fold, table
+from revlens.llm import (binary_codes, count_rtree, decontam, katz, langid, packing, patience, periodic_runs, quality, token_alignment,
+                         token_files, wrappers)
+from revlens.llm.common import fold, stored, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +68,53 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_rtree.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(docs.select("doc_id", _with_repeats(F.col("doc_id"), F.col("text")).alias("text")))
+    # The greatest exact length / period; the first of equal ones, as runs are sorted.
+    ahead = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(ahead(r, a), r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    out = found.withColumn("best", best)
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def _with_repeats(doc_id: Column, text: Column) -> Column:
+    """The contract's test input: in a tenth of the documents the words repeat from a place on."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        return _bound(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")), lambda v: F.array_join(
+            F.transform(w, lambda x, i: F.when(i < v["a"], x).otherwise(F.get(w, (v["a"] + (i - v["a"]) % v["p"]).cast("int")))), " "))
+
+    return F.when(h % 10 == 0, _bound(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(text))).otherwise(text)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = stored(aligned.select("block", "doc_id", *token_alignment.NUMBERS, digest, "links", "pairs", "holders"), "aligned")
+    return token_alignment.with_link_counts(aligned).select(
+        "doc_id", *token_alignment.NUMBERS, "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op5_katz_lm, op6_embedding_dedup,
-                               op7_license_scan, op8_wrapper_extraction, op9_token_files, op10_ngram_jaccard)}
+                               op7_license_scan, op8_wrapper_extraction, op9_token_files, op10_ngram_jaccard,
+                               op12_periodic_runs, op13_token_alignment)}
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
