@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -43,6 +44,8 @@ from revlens.llm.common import bound_batches, known_id, null_id, stored
 SLICE_CHARS, BLOCK_CHARS = 500_000, 4_000_000
 #: Documents in one batch of output.
 ROWS_OUT = 500
+#: Pairs of a group that are linked one by one.
+SMALL_GROUP = 64
 #: Windows remembered by a task; beyond them it starts anew.
 MEMO_WINDOWS = 400_000
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -50,10 +53,6 @@ ALIGNED = ("block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint
            "links binary, pairs array<bigint>, holders array<bigint>")
 
 
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.astype(np.int64) << 32) | b
-
-
 def byte_letters() -> dict[str, int]:
     """The byte-level alphabet: printable Latin-1 letters stand for their own byte, all other bytes
     for letters from U+0100 on in ascending order."""
@@ -100,28 +99,28 @@ class Aligner:
 
     def __init__(self, a: TokenizerA, b: TokenizerB):
         self.a, self.b = a, b
-        self.width_a, self.width_b = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (a, b))
+        self.lengths_a, self.lengths_b = ([len(x) for x in t.bytes] for t in (a, b))
+        self.width_a, self.width_b = np.array(self.lengths_a), np.array(self.lengths_b)
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t.bytes]) for t in (a, b))
-        self.memo: dict[tuple, tuple[str, int, np.ndarray]] = {}
-
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, np.ndarray]:
-        """Groups as text, their number, and the keys of all linked pairs, of ids that cover the same bytes."""
-        known = self.memo.get((a, b))
-        if known is None:
-            if len(a) == 1 or len(b) == 1:
-                cuts_a, cuts_b = [0, len(a)], [0, len(b)]
+        self.memo: dict[tuple, tuple[str, int, list[int], list[int]]] = {}
+
+    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int], list[int]]:
+        """Of ids that cover the same bytes: groups as text, their number, linked pairs' keys and how
+        often each is linked. Both walk on together, the one that is behind first."""
+        shown, links = [], {}
+        i = j = from_a = from_b = end_a = end_b = 0
+        while i < len(a) or j < len(b):
+            if end_a <= end_b and i < len(a):
+                end_a, i = end_a + self.lengths_a[a[i]], i + 1
             else:
-                ends_a, ends_b = np.cumsum(self.width_a[list(a)]), np.cumsum(self.width_b[list(b)])
-                _, at_a, at_b = np.intersect1d(ends_a, ends_b, return_indices=True)
-                cuts_a, cuts_b = [0, *(at_a + 1).tolist()], [0, *(at_b + 1).tolist()]
-            shown, keys = [], []
-            for i, j, k, n in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False):
-                shown.append(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:n])))
-                keys.append(_links(np.array(a[i:j]), np.array(b[k:n])))
-            known = (";".join(shown), len(shown), _added_up(keys))
-            if len(self.memo) >= MEMO_WINDOWS:
-                self.memo.clear()
-            self.memo[a, b] = known
+                end_b, j = end_b + self.lengths_b[b[j]], j + 1
+            if end_a == end_b:
+                _link(a[from_a:i], b[from_b:j], links)
+                shown.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
+                from_a, from_b = i, j
+        if len(self.memo) >= MEMO_WINDOWS:
+            self.memo.clear()
+        known = self.memo[a, b] = (";".join(shown), len(shown), list(links), list(links.values()))
         return known
 
     def document(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
@@ -141,25 +140,27 @@ class Aligner:
         marked = self.space_b[ids_b[at + 1]]
         cuts_a = [0, *(before[marked] + 1).tolist(), len(a)]
         cuts_b = [0, *(at[marked] + 1).tolist(), len(b)]
-        found = [self.window(tuple(a[i:j]), tuple(b[k:n]))
+        a, b, recall = tuple(a), tuple(b), self.memo.get
+        found = [recall((x := a[i:j], y := b[k:n])) or self.window(x, y)
                  for i, j, k, n in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False)]
-        both = np.concatenate([w[2] for w in found], axis=1)
-        keys, own = np.unique(both[0], return_inverse=True)
-        times = np.bincount(own, weights=both[1], minlength=len(keys)).astype(np.int64)
-        return (len(a), len(b), sum(w[1] for w in found), int(times.sum()), ";".join([w[0] for w in found]), keys, times)
-
-
-def _links(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Two rows, keys and times, of all pairs of occurrences in a group; ids that repeat are counted first."""
-    a, times_a = np.unique(a, return_counts=True)
-    b, times_b = np.unique(b, return_counts=True)
-    return np.stack([pair_key(np.repeat(a, len(b)), np.tile(b, len(a))), np.repeat(times_a, len(b)) * np.tile(times_b, len(a))])
-
-
-def _added_up(links: list[np.ndarray]) -> np.ndarray:
-    both = np.concatenate(links, axis=1)
-    keys, own = np.unique(both[0], return_inverse=True)
-    return np.stack([keys, np.bincount(own, weights=both[1], minlength=len(keys)).astype(np.int64)])
+        keys, own = np.unique(np.array([k for w in found for k in w[2]]), return_inverse=True)
+        each = np.array([t for w in found for t in w[3]])
+        times = np.bincount(own, weights=each, minlength=len(keys)).astype(np.int64)
+        return (len(a), len(b), sum(w[1] for w in found), int(each.sum()), ";".join([w[0] for w in found]), keys, times)
+
+
+def _link(a: tuple[int, ...], b: tuple[int, ...], links: dict[int, int]) -> None:
+    """Counts all pairs of occurrences in a group; in large ones, ids that repeat are counted first."""
+    if len(a) * len(b) <= SMALL_GROUP:
+        for x in a:
+            x <<= 32
+            for y in b:
+                links[x | y] = links.get(x | y, 0) + 1
+        return
+    times_b = Counter(b).items()
+    for x, n in Counter(a).items():
+        for y, m in times_b:
+            links[x << 32 | y] = links.get(x << 32 | y, 0) + n * m
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
