@@ -5,8 +5,9 @@ and by B (a ``sentencepiece`` model, which puts the space in itself). Byte offse
 end cut the tokens into groups; every A-B pair of occurrences in a group is a link.
 
 1. ``align`` encodes documents and finds anchors: ends of an A token before a token that begins with a
-   space, where a B token ends as well. They split a document into windows (about a word each), which
-   are aligned once for each pair of id tuples and remembered. A task puts its documents into blocks
+   space, where a B token ends as well. They split a document into windows (about a word each). Of the
+   windows of a slice of documents, those with the same pair of id tuples are found by a hash of the
+   ids, compared, and aligned once for all. A task puts its documents into blocks
    of ``BLOCK_CHARS`` characters; a block's distinct id pairs are one more row, with the number
    of its documents that hold each, and documents hold places in that list.
 2. ``with_link_counts`` adds up the blocks' numbers per id pair over the corpus, marks pairs whose count
@@ -27,8 +28,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,13 +42,11 @@ from pyspark.sql import functions as F
 from revlens.llm.common import bound_batches, known_id, null_id, stored
 
 #: Characters encoded at once, and characters of a block's documents (the last may be longer).
-SLICE_CHARS, BLOCK_CHARS = 500_000, 4_000_000
+SLICE_CHARS, BLOCK_CHARS = 2_000_000, 4_000_000
 #: Documents in one batch of output.
 ROWS_OUT = 500
-#: Pairs of a group that are linked one by one.
-SMALL_GROUP = 64
-#: Windows remembered by a task; beyond them it starts anew.
-MEMO_WINDOWS = 400_000
+#: Pairs of a group beyond which ids that repeat are counted before they are paired.
+LARGE_GROUP = 256
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 ALIGNED = ("block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, "
            "links binary, pairs array<bigint>, holders array<bigint>")
@@ -95,72 +94,145 @@ class TokenizerB:
 
 
 class Aligner:
-    """Aligns documents; remembers windows by their id tuples."""
+    """Aligns the documents of a slice at once, each window of the same id tuples once."""
 
     def __init__(self, a: TokenizerA, b: TokenizerB):
         self.a, self.b = a, b
-        self.lengths_a, self.lengths_b = ([len(x) for x in t.bytes] for t in (a, b))
-        self.width_a, self.width_b = np.array(self.lengths_a), np.array(self.lengths_b)
+        self.width_a, self.width_b = (np.array([len(x) for x in t.bytes], dtype=np.int64) for t in (a, b))
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t.bytes]) for t in (a, b))
-        self.memo: dict[tuple, tuple[str, int, list[int], list[int]]] = {}
-
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int], list[int]]:
-        """Of ids that cover the same bytes: groups as text, their number, linked pairs' keys and how
-        often each is linked. Both walk on together, the one that is behind first."""
-        shown, links = [], {}
-        i = j = from_a = from_b = end_a = end_b = 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b and i < len(a):
-                end_a, i = end_a + self.lengths_a[a[i]], i + 1
-            else:
-                end_b, j = end_b + self.lengths_b[b[j]], j + 1
-            if end_a == end_b:
-                _link(a[from_a:i], b[from_b:j], links)
-                shown.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                from_a, from_b = i, j
-        if len(self.memo) >= MEMO_WINDOWS:
-            self.memo.clear()
-        known = self.memo[a, b] = (";".join(shown), len(shown), list(links), list(links.values()))
-        return known
-
-    def document(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """n_a, n_b, n_groups, n_links, groups, distinct pair keys and how often each is linked."""
+        # An id as text and what follows it: more of its side, the other side, the next group.
+        self.shown = [f"{k}{after}" for after in ",|;" for k in range(max(len(a.bytes), len(b.bytes)))]
+
+    def documents(self, texts: list[str]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """Per text n_a, n_b, n_groups, n_links, groups, distinct pair keys and how often each is linked."""
         none = np.empty(0, np.int64)
-        whole = (" " + text).encode()
-        if not text or b"".join(map(self.a.bytes.__getitem__, a)) != whole \
-                or b"".join(map(self.b.bytes.__getitem__, b)) != whole:
-            return 0, 0, 0, 0, "", none, none
-        ids_a, ids_b = np.array(a), np.array(b)
-        ends_a, ends_b = np.cumsum(self.width_a[ids_a]), np.cumsum(self.width_b[ids_b])
-        # Anchors: A ends before a token that begins with a space, and B ends there too.
-        before = np.flatnonzero(self.space_a[ids_a[1:]])
+        out = [(0, 0, 0, 0, "", none, none)] * len(texts)
+        ids_a, ids_b = self.a.encode(texts), self.b.encode(texts)
+        kept = [k for k, t in enumerate(texts) if t and self._covers((" " + t).encode(), ids_a[k], ids_b[k])]
+        if not kept:
+            return out
+        a, n_a = _flat([ids_a[k] for k in kept])
+        b, n_b = _flat([ids_b[k] for k in kept])
+        cuts_a, cuts_b = self._anchors(a, b)
+        window, of = self._windows(a, b, cuts_a, cuts_b)
+        shown, groups, size, keys, times = self._align(*_cut(a, cuts_a, of), *_cut(b, cuts_b, of))
+        # All links of a document, from those of its windows.
+        distinct, place = np.unique(keys, return_inverse=True)
+        first = np.searchsorted(cuts_a[:-1], np.concatenate([[0], np.cumsum(n_a)]))
+        doc = np.repeat(np.arange(len(kept)), np.diff(first))
+        at = _ranges((np.cumsum(size) - size)[window], size[window])
+        code, own = np.unique(np.repeat(doc, size[window]) * len(distinct) + place[at], return_inverse=True)
+        linked = np.bincount(own, weights=times[at], minlength=len(code)).astype(np.int64)
+        edges = np.searchsorted(code, np.arange(len(kept) + 1) * len(distinct))
+        groups, window = groups[window], window.tolist()
+        for n, k in enumerate(kept):
+            lo, hi = edges[n], edges[n + 1]
+            out[k] = (int(n_a[n]), int(n_b[n]), int(groups[first[n]:first[n + 1]].sum()), int(linked[lo:hi].sum()),
+                      ";".join([shown[w] for w in window[first[n]:first[n + 1]]]), distinct[code[lo:hi] - n * len(distinct)], linked[lo:hi])
+        return out
+
+    def _covers(self, whole: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.a.bytes.__getitem__, a)) == whole and b"".join(map(self.b.bytes.__getitem__, b)) == whole
+
+    def _anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows begin, and the end: A ends before a token that begins with a space, and B ends
+        there before such a token too. Every document begins with a space, so its end is an anchor."""
+        ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        before = np.flatnonzero(np.append(self.space_a[a[1:]], True))
         at = np.searchsorted(ends_b, ends_a[before])
-        shared = (ends_b[at] == ends_a[before]) & (at + 1 < len(ids_b))
-        before, at = before[shared], at[shared]
-        marked = self.space_b[ids_b[at + 1]]
-        cuts_a = [0, *(before[marked] + 1).tolist(), len(a)]
-        cuts_b = [0, *(at[marked] + 1).tolist(), len(b)]
-        a, b, recall = tuple(a), tuple(b), self.memo.get
-        found = [recall((x := a[i:j], y := b[k:n])) or self.window(x, y)
-                 for i, j, k, n in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False)]
-        keys, own = np.unique(np.array([k for w in found for k in w[2]]), return_inverse=True)
-        each = np.array([t for w in found for t in w[3]])
-        times = np.bincount(own, weights=each, minlength=len(keys)).astype(np.int64)
-        return (len(a), len(b), sum(w[1] for w in found), int(each.sum()), ";".join([w[0] for w in found]), keys, times)
-
-
-def _link(a: tuple[int, ...], b: tuple[int, ...], links: dict[int, int]) -> None:
-    """Counts all pairs of occurrences in a group; in large ones, ids that repeat are counted first."""
-    if len(a) * len(b) <= SMALL_GROUP:
-        for x in a:
-            x <<= 32
-            for y in b:
-                links[x | y] = links.get(x | y, 0) + 1
-        return
-    times_b = Counter(b).items()
-    for x, n in Counter(a).items():
-        for y, m in times_b:
-            links[x << 32 | y] = links.get(x << 32 | y, 0) + n * m
+        verified = (ends_b[at] == ends_a[before]) & np.append(self.space_b[b[1:]], True)[at]
+        return np.concatenate([[0], before[verified] + 1]), np.concatenate([[0], at[verified] + 1])
+
+    def _windows(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of equal windows and one window of each, found by a hash of the ids and compared."""
+        mark = _mixed(a, cuts_a, 1) + _mixed(b, cuts_b, 2)
+        _, of, window = np.unique(mark, return_index=True, return_inverse=True)
+        like = of[window]
+        same = _equal(a, cuts_a, like) & _equal(b, cuts_b, like)
+        if not same.all():  # two windows of one hash: each has a number of its own
+            odd = np.flatnonzero(~same)
+            window[odd] = len(of) + np.arange(len(odd))
+            of = np.concatenate([of, odd])
+        return window, of
+
+    def _align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Aligns windows laid end to end (both sides cover the same bytes, so their ends are shared):
+        per window its groups as text, their number and that of its links' keys; the keys and times."""
+        ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = np.flatnonzero(ends_b[at] == ends_a)
+        last_b = at[last_a]
+        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        # Text: each group's A ids, then its B ids.
+        start = np.cumsum(size_a + size_b) - size_a - size_b
+        seq = np.empty(len(a) + len(b), np.int64)
+        width = len(self.shown) // 3
+        put_a, put_b = _ranges(start, size_a), _ranges(start + size_a, size_b)
+        seq[put_a], seq[put_b] = a, b
+        seq[start + size_a - 1] += width
+        seq[start + size_a + size_b - 1] += 2 * width
+        shown = [self.shown[k] for k in seq.tolist()]
+        # Links: each A id of a group with each of its B ids; of large groups, ids are counted first.
+        by_window = np.searchsorted(last_a, np.concatenate([[0], np.cumsum(n_a)]))
+        from_a, from_b = last_a + 1 - size_a, last_b + 1 - size_b
+        pairs = size_a * size_b
+        large = np.flatnonzero(pairs > LARGE_GROUP)
+        pairs[large] = 0
+        group = np.repeat(np.arange(len(pairs)), pairs)
+        nth = np.arange(len(group)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        keys = a[from_a[group] + nth // size_b[group]] << 32 | b[from_b[group] + nth % size_b[group]]
+        times = np.ones(len(keys), np.int64)
+        if len(large):
+            counted = [_counted_pairs(a[from_a[g]:last_a[g] + 1], b[from_b[g]:last_b[g] + 1]) for g in large.tolist()]
+            group = np.concatenate([group, np.repeat(large, [len(c[0]) for c in counted])])
+            order = np.argsort(group, kind="stable")
+            keys = np.concatenate([keys, *(c[0] for c in counted)])[order]
+            times = np.concatenate([times, *(c[1] for c in counted)])[order]
+            group = group[order]
+        size = np.diff(np.searchsorted(group, by_window))
+        text = np.concatenate([start, [len(seq)]])[by_window].tolist()
+        joined = ["".join(shown[i:j])[:-1] for i, j in zip(text, text[1:], strict=False)]
+        return joined, np.diff(by_window), size, keys, times
+
+
+def _cut(ids: np.ndarray, cuts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of windows ``of``, one after another, and how many each has."""
+    sizes = np.diff(cuts)[of]
+    return ids[_ranges(cuts[of], sizes)], sizes
+
+
+def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each size, one after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def _mixed(ids: np.ndarray, cuts: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each window's ids in order."""
+    place = np.arange(len(ids)) - np.repeat(cuts[:-1], np.diff(cuts))
+    h = (ids.astype(np.uint64) + np.uint64(seed << 40)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.add.reduceat(h ^ (h >> np.uint64(32)), cuts[:-1])
+
+
+def _equal(ids: np.ndarray, cuts: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Whether each window has the same ids as window ``like``."""
+    sizes = np.diff(cuts)
+    same = sizes == sizes[like]
+    short = np.minimum(sizes, sizes[like])
+    differs = ids[_ranges(cuts[:-1], short)] != ids[_ranges(cuts[like], short)]
+    return same & (np.add.reduceat(differs, np.cumsum(short) - short) == 0)
+
+
+def _counted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all pairs of ids of a group, and how many pairs of occurrences each stands for."""
+    a, times_a = np.unique(a, return_counts=True)
+    b, times_b = np.unique(b, return_counts=True)
+    return np.repeat(a << 32, len(b)) | np.tile(b, len(a)), np.repeat(times_a, len(b)) * np.tile(times_b, len(a))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -181,8 +253,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 while a + len(some) < len(ids) and size < SLICE_CHARS:
                     some.append(texts[a + len(some)].as_py() or "")
                     size += len(some[-1])
-                encoded = zip(some, aligner.a.encode(some), aligner.b.encode(some), strict=True)
-                held += [(doc_id, *aligner.document(*one)) for doc_id, one in zip(ids[a:], encoded, strict=False)]
+                held += [(doc_id, *one) for doc_id, one in zip(ids[a:], aligner.documents(some), strict=False)]
                 a, chars = a + len(some), chars + size
                 if chars >= BLOCK_CHARS:
                     yield from _block_rows(block, held)
