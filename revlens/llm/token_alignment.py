@@ -16,7 +16,9 @@ end cut the tokens into groups; every A-B pair of occurrences in a group is a li
 Nothing but ids and counts is shuffled: each id pair once per block, and documents' places to the
 counts of their block. The highest count per A id is at most one row per entry of A's vocabulary.
 
-Tokens' bytes: A's entry with its byte-level letters decoded; B's piece in UTF-8 with U+2581 as space,
+A's ids are put together from those of pieces between single spaces, where the tokenizer's own
+splitting begins a new word (``token_files.PieceEncoder``); tests compare them with its call on whole
+texts. Tokens' bytes: A's entry with its byte-level letters decoded; B's piece in UTF-8 with U+2581 as space,
 ``<0xHH>`` as that byte. Strings of special tokens inside a text are plain text.
 
 Defined results: texts that are null or empty, or whose joined bytes of A or B are not space + text,
@@ -26,11 +28,9 @@ count as documents; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -40,9 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm.common import bound_batches, known_id, null_id, stored
+from revlens.llm.token_files import RARE_SPACE, SPACE, PieceEncoder
 
 #: Characters encoded at once, and characters of a block's documents (the last may be longer).
-SLICE_CHARS, BLOCK_CHARS = 2_000_000, 4_000_000
+SLICE_CHARS, BLOCK_CHARS = 1_500_000, 4_000_000
+#: Pieces of text whose ids of A a worker remembers, some 150 MB; beyond them it starts anew.
+CACHE_PIECES = 700_000
 #: Documents in one batch of output.
 ROWS_OUT = 500
 #: Pairs of a group beyond which ids that repeat are counted before they are paired.
@@ -52,39 +55,48 @@ ALIGNED = ("block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint
            "links binary, pairs array<bigint>, holders array<bigint>")
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 letters stand for their own byte, all other bytes
-    for letters from U+0100 on in ascending order."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(own)]
-    return {**{chr(b): b for b in own}, **{chr(256 + k): b for k, b in enumerate(others)}}
+class TokenizerA(PieceEncoder):
+    """Ids of space + text by a byte-level BPE file; pieces between single spaces are encoded once."""
 
-
-class TokenizerA:
-    def __init__(self, file: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(file.decode())
-        self.library.encode_special_tokens = True
-        letters = byte_letters()
-        vocabulary = self.library.get_vocab(with_added_tokens=False)
-        added = {k: t.content.encode() for k, t in self.library.get_added_tokens_decoder().items()}
+    def __init__(self, path: str):
+        super().__init__(path, CACHE_PIECES)
+        self.tokenizer.encode_special_tokens = True
+        letters = {c: b for b, c in self.printable.items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = {k: t.content for k, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.bytes = [b""] * (max([*vocabulary.values(), *added], default=-1) + 1)
-        for entry, k in vocabulary.items():
+        for entry, k in [*vocabulary.items(), *((c, k) for k, c in added.items())]:
             self.bytes[k] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
-        for k, content in added.items():
-            self.bytes[k] = content
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.odd: set[str] = set()
+
+    def __missing__(self, piece: str) -> bytes:
+        found = super().__missing__(piece)
+        if b"".join(map(self.bytes.__getitem__, np.frombuffer(found, self.dtype).tolist())) != piece.encode():
+            self.odd.add(piece)
+        return found
+
+    def ids(self, text: str) -> np.ndarray | None:
+        """None if the entries' bytes are not those of space + text."""
+        if self.any_added and self.any_added.search(text):  # as plain text, whatever lies between
+            ids = np.array(self.tokenizer.encode(" " + text, add_special_tokens=False).ids)
+            whole = b"".join(map(self.bytes.__getitem__, ids.tolist()))
+            return ids if whole == (" " + text).encode() else None
+        if text[0].isspace() or text[-1].isspace() or "  " in text or "\n " in text or " \n" in text or "\x00" in text \
+                or RARE_SPACE.search(text):
+            pieces = SPACE.split(" " + text)
+        else:
+            pieces = (" " + text).replace(" ", "\x00 ").split("\x00")[1:]
+        found = b"".join(map(self.__getitem__, pieces))
+        if self.odd and not self.odd.isdisjoint(pieces):
+            return None
+        return np.frombuffer(found, self.dtype)
 
 
 class TokenizerB:
-    def __init__(self, file: bytes):
+    def __init__(self, path: str):
         import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=file)
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = [bytes([int(self.library.id_to_piece(k)[3:-1], 16)]) if self.library.is_byte(k)
                       else self.library.id_to_piece(k).replace("▁", " ").encode()
                       for k in range(self.library.get_piece_size())]
@@ -92,6 +104,9 @@ class TokenizerB:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, num_threads=1)
 
+    def covers(self, whole: str, ids: list[int]) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == whole.encode()
+
 
 class Aligner:
     """Aligns the documents of a slice at once, each window of the same id tuples once."""
@@ -107,11 +122,12 @@ class Aligner:
         """Per text n_a, n_b, n_groups, n_links, groups, distinct pair keys and how often each is linked."""
         none = np.empty(0, np.int64)
         out = [(0, 0, 0, 0, "", none, none)] * len(texts)
-        ids_a, ids_b = self.a.encode(texts), self.b.encode(texts)
-        kept = [k for k, t in enumerate(texts) if t and self._covers((" " + t).encode(), ids_a[k], ids_b[k])]
+        ids_a = [self.a.ids(t) if t else None for t in texts]
+        ids_b = self.b.encode(texts)
+        kept = [k for k, t in enumerate(texts) if ids_a[k] is not None and self.b.covers(" " + t, ids_b[k])]
         if not kept:
             return out
-        a, n_a = _flat([ids_a[k] for k in kept])
+        a, n_a = np.concatenate([ids_a[k] for k in kept]).astype(np.int64), np.array([len(ids_a[k]) for k in kept])
         b, n_b = _flat([ids_b[k] for k in kept])
         cuts_a, cuts_b = self._anchors(a, b)
         window, of = self._windows(a, b, cuts_a, cuts_b)
@@ -131,9 +147,6 @@ class Aligner:
                       ";".join([shown[w] for w in window[first[n]:first[n + 1]]]), distinct[code[lo:hi] - n * len(distinct)], linked[lo:hi])
         return out
 
-    def _covers(self, whole: bytes, a: list[int], b: list[int]) -> bool:
-        return b"".join(map(self.a.bytes.__getitem__, a)) == whole and b"".join(map(self.b.bytes.__getitem__, b)) == whole
-
     def _anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where windows begin, and the end: A ends before a token that begins with a space, and B ends
         there before such a token too. Every document begins with a space, so its end is an anchor."""
@@ -201,6 +214,10 @@ def _cut(ids: np.ndarray, cuts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray,
     return ids[_ranges(cuts[of], sizes)], sizes
 
 
+#: Per worker process, so that later tasks use the pieces of earlier ones.
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+
+
 def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
@@ -240,10 +257,11 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     ``a1,a2|b1;...``, and packed links) and one per block (its distinct pairs and how many of its
     documents hold each; these have no ``links``)."""
     bound_batches(docs.sparkSession)
-    file_a, file_b = (Path(p).read_bytes() for p in (path_a, path_b))  # some MB, shipped with the function
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(TokenizerA(file_a), TokenizerB(file_b))
+        if (path_a, path_b) not in _ALIGNERS:
+            _ALIGNERS[path_a, path_b] = Aligner(TokenizerA(path_a), TokenizerB(path_b))
+        aligner = _ALIGNERS[path_a, path_b]
         block, held, chars = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
