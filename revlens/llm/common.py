@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -88,6 +88,11 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def slices(batches: Iterable[pd.DataFrame], text: str = "text",
            chars: int = CHARS_PER_SLICE) -> Iterator[pd.DataFrame]:
     """Each batch in consecutive slices of about ``chars`` characters; a longer text is alone."""

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import (binary_codes, count_rtree, decontam, katz, langid, packing, patience, periodic_runs, quality, token_alignment,
-                         token_files, wrappers)
-from revlens.llm.common import fold, stored, table
+from revlens.llm import (binary_codes, count_rtree, decontam, disclosure, katz, langid, packing, patience, periodic_runs, quality,
+                         token_alignment, token_files, wrappers)
+from revlens.llm.common import bound, fold, stored, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,16 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_rtree.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_disclosure_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["kind"] != "term")
+    kinds = F.transform("spans", lambda x: x["kind"])
+    without = {kind: F.size(F.array_remove(kinds, kind)) for kind in disclosure.KINDS}
+    count = [(F.size("spans") - n).cast("long").alias(f"n_{kind}") for kind, n in without.items()]
+    shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *count, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = periodic_runs.find_runs(docs.select("doc_id", _with_repeats(F.col("doc_id"), F.col("text")).alias("text")))
@@ -90,15 +100,10 @@ def _with_repeats(doc_id: Column, text: Column) -> Column:
     def repeated(w: Column) -> Column:
         n = F.size(w).cast("long")
         a = g % n
-        return _bound(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")), lambda v: F.array_join(
+        return bound(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")), lambda v: F.array_join(
             F.transform(w, lambda x, i: F.when(i < v["a"], x).otherwise(F.get(w, (v["a"] + (i - v["a"]) % v["p"]).cast("int")))), " "))
 
-    return F.when(h % 10 == 0, _bound(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(text))).otherwise(text)
-
-
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``value``, which is evaluated once however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.when(h % 10 == 0, bound(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(text))).otherwise(text)
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +120,6 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_benchmark_decontamination, op3_best_fit_packing, op4_language_id, op5_katz_lm, op6_embedding_dedup,
                                op7_license_scan, op8_wrapper_extraction, op9_token_files, op10_ngram_jaccard,
-                               op12_periodic_runs, op13_token_alignment)}
+                               op11_disclosure_control, op12_periodic_runs, op13_token_alignment)}
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {}
