@@ -1072,6 +1072,12 @@ def q_i4(spark, d):
     return stream_posting_retry(spark, d, views(spark, d).pipeline_runs)
 
 
+@entry("stream_posting_offers")
+def q_i4_offers(spark, d):
+    from .streaming.streams import stream_posting_offers
+    return stream_posting_offers(spark, d, views(spark, d).pipeline_runs)
+
+
 @entry("stream_stale_runs")
 def q_i5(spark, d):
     from .streaming.streams import stream_stale_runs

@@ -184,6 +184,16 @@ def findings_from(li: DataFrame) -> DataFrame:
     )
 
 
+def receipts_from(li: DataFrame) -> DataFrame:
+    """Receipts of posted comments, 0 to 4 days after posting; some come twice."""
+    f = findings_from(li).where("posted_at is not null")
+    late = F.pmod(F.col("prompt_tokens"), F.lit(5))
+    one = f.select(F.col("id").alias("finding_id"), (F.col("posted_at") + F.make_dt_interval(days=late)).alias("received_at"))
+    again = f.where("external_comment_id is not null").select(
+        F.col("id").alias("finding_id"), (F.col("posted_at") + F.make_dt_interval(days=late + 2)).alias("received_at"))
+    return one.unionByName(again)
+
+
 def finding_events(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
     """Events attached to the smallest finding id of PR ``event_id*7 % 1000``.
 
