@@ -81,8 +81,8 @@ def definitions(lines: DataFrame) -> DataFrame:
                     F.lit("func").alias("kind"))
 
 
-def imports(lines: DataFrame) -> DataFrame:
-    """H28 (imports): importer path -> imported package folder and alias."""
+def imports(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """H28 (imports): importer path -> imported package folder and alias; ``keep`` names more key columns."""
     ext, t = F.col("ext"), F.col("text")
     pkg = _by_ext(ext, {
         "go": F.regexp_replace(F.regexp_extract(t, r'^import\s+"([^"]+)"', 1), r"^[^/]+/[^/]+/", ""),
@@ -91,25 +91,25 @@ def imports(lines: DataFrame) -> DataFrame:
         "ts": F.regexp_extract(t, r'^import\s+\*\s+as\s+[A-Za-z0-9_]+\s+from\s+"([^"]+)"', 1),
         "php": F.translate(F.regexp_extract(t, r"^use\s+([A-Za-z0-9_\\]+);", 1), "\\", "/"),
     })
-    d = lines.select("repo_full_name", F.col("path").alias("importer"), pkg.alias("package"))
+    d = lines.select("repo_full_name", *keep, F.col("path").alias("importer"), pkg.alias("package"))
     d = d.filter(F.regexp_extract("package", r"([^/]+)$", 1) != "")
-    return d.select("repo_full_name", "importer", "package", F.regexp_extract("package", r"([^/]+)$", 1).alias("alias")).distinct()
+    return d.select("repo_full_name", *keep, "importer", "package", F.regexp_extract("package", r"([^/]+)$", 1).alias("alias")).distinct()
 
 
-def calls(lines: DataFrame) -> DataFrame:
+def calls(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """H28 (calls): qualified ``alias.Name(`` and unqualified ``Name(`` uses,
-    outside definition lines."""
+    outside definition lines; ``keep`` names more key columns."""
     ext = F.col("ext")
     is_def = _by_ext(ext, {e: F.col("text").rlike(p) for e, p in DEF_PATTERNS.items()})
     body = lines.filter(~F.coalesce(is_def, F.lit(False)))
-    q = body.select("repo_full_name", "path", "line_no", "text",
+    q = body.select("repo_full_name", *keep, "path", "line_no", "text",
                     F.explode(F.regexp_extract_all("text", F.lit(QUALIFIED_CALL), 0)).alias("m"))
-    q = q.select("repo_full_name", "path", "line_no", "text", F.split("m", r"\.").getItem(0).alias("alias"),
+    q = q.select("repo_full_name", *keep, "path", "line_no", "text", F.split("m", r"\.").getItem(0).alias("alias"),
                  F.regexp_replace(F.split("m", r"\.").getItem(1), r"\($", "").alias("name"),
                  F.lit(True).alias("qualified"))
-    u = body.select("repo_full_name", "path", "line_no", "text",
+    u = body.select("repo_full_name", *keep, "path", "line_no", "text",
                     F.explode(F.regexp_extract_all("text", F.lit(UNQUALIFIED_CALL), 1)).alias("name"))
-    u = u.select("repo_full_name", "path", "line_no", "text", F.lit(None).cast("string").alias("alias"), "name",
+    u = u.select("repo_full_name", *keep, "path", "line_no", "text", F.lit(None).cast("string").alias("alias"), "name",
                  F.lit(False).alias("qualified"))
     return q.unionByName(u)
 

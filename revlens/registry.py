@@ -795,6 +795,65 @@ def q_j3(spark, d):
                                                    "task_type", "risk_score", "model_id", "file_level")
 
 
+def _versions(spark, d):
+    """File versions, their heads, hunks of the heads, and changed symbols by version."""
+    from .operators import code_index as X
+    from .operators import versions as V
+    from .sources import synth
+    versions = synth.source_versions(spark, d)
+    heads = views(spark, d).pull_requests.select(F.col("id").alias("pull_request_id"), "external_pr_id", "repo_full_name")
+    hunks = X.parse_hunks(synth.diffs(spark, d)).join(heads.drop("repo_full_name"), "pull_request_id")
+    return versions, heads, V.changed_versions(V.version_symbols(versions), hunks)
+
+
+@entry("read_source_versions")
+def q_a13_versions(spark, d):
+    from .sources import synth
+    return synth.source_versions(spark, d)
+
+
+@entry("symbols_by_head")
+def q_h28_versions(spark, d):
+    """H28 at the newest head of every PR: symbols of the files that its diffs name."""
+    from .operators import code_index as X
+    from .operators import versions as V
+    from .sources import synth
+    heads = views(spark, d).pull_requests.select(F.col("id").alias("pull_request_id"), "external_pr_id", "repo_full_name")
+    paths = X.changed_files(synth.diffs(spark, d)).join(heads.drop("repo_full_name"), "pull_request_id") \
+        .select("external_pr_id", "repo_full_name", "path").distinct()
+    newest = heads.groupBy("external_pr_id").agg(F.max("pull_request_id").alias("pull_request_id"))
+    return V.symbols_at(V.version_symbols(synth.source_versions(spark, d)), paths.join(newest, "external_pr_id")).select(
+        "pull_request_id", "repo_full_name", "path", "symbol", "kind", "parent", "start_line", "end_line", "param_count", "exported",
+        "content_hash")
+
+
+@entry("changed_symbols_by_head")
+def q_c7_versions(spark, d):
+    return _versions(spark, d)[2].select("external_pr_id", "repo_full_name", "path", "symbol", "kind", "start_line", "end_line",
+                                         "from_head", "to_head", "changed_lines")
+
+
+@entry("generate_new_tasks")
+def q_j3_versions(spark, d):
+    """J3 with C6: the tasks of every head without those whose place and content were reviewed at an earlier one."""
+    from .operators import code_index as X
+    from .operators import versions as V
+    from .plans.planner import task_id
+    from .sources import synth
+    versions, heads, changed = _versions(spark, d)
+    c = V.candidate_tasks(versions, changed, heads, X.test_file_map(synth.source_files(spark, d)))
+    c = V.not_reviewed_yet(c, synth.task_outcomes(spark, d)).filter("reviewed_head is null")
+    return c.withColumn("task_id", task_id("pull_request_id", "path", "symbol", "task_type")).select(
+        "task_id", "pull_request_id", "path", "symbol", "start_line", "task_type", "risk_score", "model_id", "content_hash")
+
+
+@entry("change_cone_by_head")
+def q_c8_versions(spark, d):
+    from .operators import versions as V
+    versions, _, changed = _versions(spark, d)
+    return V.change_cone_by_head(changed, V.version_references(versions), versions)
+
+
 @entry("token_packing")
 def q_e7(spark, d):
     """E7 over every document: lines kept under a 512-token budget."""

@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, SEVERITIES
+from ..functions.arrays import bound
 from .tables import read_table
-from .views import pick, s
+from .views import pick, review_tasks, s
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES of the synthetic-source layout (shared with the SQL oracle)
@@ -133,6 +134,70 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.unionByName(tests)
 
 
+def _more_kinds(k: Column, ext: Column) -> Column:
+    """Eleven lines with other kinds of symbols than functions, per language."""
+    n, call = s(k), F.concat(F.lit("m"), s(F.floor(k / 2) % 7), F.lit(".Handle_"), s(F.floor(k / 2)), F.lit("_1(a)"))
+
+    def lines(*parts) -> Column:
+        return F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in (p if isinstance(p, tuple) else (p,))]) for p in parts])
+
+    return (F.when(ext == "go", lines(
+        ("const Max", n, " = 1"), ("type Box", n, " struct {"), "    size int", "}",
+        ("func (b *Box", n, ") Grow", n, "(a int, c int) int {"), "    if a {", "        v1 = 1", "    }", "    v2 = 2", ("    ", call), "}"))
+        .when(ext == "py", lines(
+            ("MAX_", n, " = 1"), ("class Box", n, ":"), ("    def grow", n, "(self, a):"), "        if a:", "            v1 = 1",
+            "        v2 = 2", ("        ", call), ("    class Inner", n, ":"), ("        def deep", n, "(self):"), "            v3 = 3", ""))
+        .when(ext == "ts", lines(
+            ("export interface Shape", n, " {"), "    area(): number;", "}", ("export class Box", n, " {"),
+            ("    grow", n, "(a: number): number {"), "        if (a) {", "            v1 = 1", "        }", "        v2 = 2", "    }", "}"))
+        .otherwise(lines(
+            ("interface Shape", n, " {"), "}", ("class Box", n), "{", ("    const SIZE", n, " = 3;"),
+            ("    public function grow", n, "($a) {"), "        v1 = 1", "        v2 = 2", "    }", "}", "")))
+
+
+def source_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13 by head: file versions, valid from head ``from_head`` of a PR up to ``to_head`` (null: its
+    last); rows without a PR are the base, valid where the PR has no version of the file.
+
+    A PR has a version of a file from each head whose diff touches it; assignments in the lines
+    where its hunks begin are edited, so a touched file may as well stay as it was."""
+    files = source_files(spark, sf_dir).filter(~F.col("is_test"))
+    lines = F.split("content", "\n")
+    k = file_number(F.col("part_key"))
+    content = F.when(F.col("ext") == "yaml", F.col("content")).otherwise(F.array_join(F.concat(
+        F.slice(lines, 1, 2), _more_kinds(k, F.col("ext")), F.slice(lines, F.lit(3), F.size(lines))), "\n"))
+    files = files.select("part_key", "repo_full_name", "path", "ext", content.alias("content"))
+    li = read_table(spark, sf_dir, "lineitem")
+    o, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    pr = F.floor(o / 3)
+    edits = li.select(pr.alias("external_pr_id"), (file_number(F.col("l_partkey")) * N_REPOS + pr % N_REPOS).alias("part_key"),
+                      F.struct(o.alias("o"), ln.alias("ln"), (1 + (3 * F.floor(F.col("l_quantity"))) % 60).alias("c")).alias("e"))
+    edits = edits.groupBy("external_pr_id", "part_key").agg(F.collect_set("e").alias("edits"))  # one PR's edits of a file
+    heads = F.array_sort(F.array_distinct(F.transform("edits", lambda e: e["o"])))
+    at = edits.withColumn("heads", heads).select("external_pr_id", "part_key", "edits", "heads", F.posexplode("heads").alias("pos", "from_head")) \
+        .withColumn("to_head", F.get("heads", F.col("pos") + 1)).drop("pos", "heads")
+    assigned = r"^(\s+v[0-9]+ = ).*$"
+
+    def edited(x: Column, i: Column) -> Column:
+        mine = F.array_max(F.transform(F.filter("edits", lambda e: (e["o"] <= F.col("from_head")) & (e["c"] == i + 1)), lambda e: F.struct(e["o"], e["ln"])))
+        return bound(mine, lambda e: F.when(e.isNotNull() & x.rlike(assigned), F.concat(
+            F.regexp_extract(x, assigned, 1), F.lit("edited "), s(e["o"]), F.lit("-"), s(e["ln"]))).otherwise(x))
+
+    touched = at.join(files, "part_key").withColumn("content", F.array_join(F.transform(F.split("content", "\n"), edited), "\n"))
+    own = ["repo_full_name", "path", "ext", "external_pr_id", "from_head", "to_head", "content"]
+    none = F.lit(None).cast("bigint")
+    base = files.withColumns({"external_pr_id": none, "from_head": none, "to_head": none})
+    return base.select(*own).unionByName(touched.select(*own))
+
+
+def task_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of the tasks that ran per PR head and file: that of its first line item's review task."""
+    li = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pull_request_id"), file_path_of(F.col("l_partkey")).alias("path")) \
+        .agg(F.min("l_linenumber").alias("ln"))
+    tasks = review_tasks(spark, sf_dir).select("id", "status")
+    return li.withColumn("id", F.col("pull_request_id") * 10 + F.col("ln")).join(tasks, "id").select("pull_request_id", "path", "status")
+
+
 def file_lines(files: DataFrame) -> DataFrame:
     """Files exploded to (path, line_no, text); row-local, no shuffle."""
     return files.select("repo_full_name", "path", "ext", "is_test",
