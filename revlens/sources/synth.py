@@ -183,7 +183,9 @@ def source_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         return bound(mine, lambda e: F.when(e.isNotNull() & x.rlike(assigned), F.concat(
             F.regexp_extract(x, assigned, 1), F.lit("edited "), s(e["o"]), F.lit("-"), s(e["ln"]))).otherwise(x))
 
-    touched = at.join(files, "part_key").withColumn("content", F.array_join(F.transform(F.split("content", "\n"), edited), "\n"))
+    # texts are folded line by line afterwards: keep them dealt out, however few bytes they are
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    touched = at.join(files, "part_key").repartition(width, "external_pr_id", "part_key", "from_head").withColumn("content", F.array_join(F.transform(F.split("content", "\n"), edited), "\n"))
     own = ["repo_full_name", "path", "ext", "external_pr_id", "from_head", "to_head", "content"]
     none = F.lit(None).cast("bigint")
     base = files.withColumns({"external_pr_id": none, "from_head": none, "to_head": none})
