@@ -48,9 +48,12 @@ def q_load_tables(spark, d):
 
 
 def _incoming_prs(v):
+    return _incoming_of(v.pull_requests)
+
+
+def _incoming_of(p):
     """A4 batch: every closed PR head is re-sent as merged two days later, and
     every third order opens a new head of its PR three days later."""
-    p = v.pull_requests
     resent = p.filter(F.col("state") == "closed").select(
         *M.PR_KEY, *M.PR_FIRST, F.lit("merged").alias("state"),
         F.lit('{"resent":true}').alias("metadata"),
@@ -1125,6 +1128,21 @@ def q_i3(spark, d):
     return stream_scorecard(spark, d, views(spark, d).findings)
 
 
+@entry("stream_scorecards")
+def q_i3_both(spark, d):
+    from .streaming.streams import stream_scorecards
+    return stream_scorecards(spark, d, views(spark, d).findings)
+
+
+@entry("stream_upsert_pull_requests")
+def q_i1_upsert(spark, d):
+    from .sources.views import pull_requests_from
+    from .streaming.streams import read_stream
+    from .streaming.upserts import stream_pull_requests
+    incoming = _incoming_of(pull_requests_from(read_stream(spark, d, "orders")))
+    return stream_pull_requests(incoming, views(spark, d).pull_requests)
+
+
 @entry("stream_posting_retry")
 def q_i4(spark, d):
     from .streaming.streams import stream_posting_retry

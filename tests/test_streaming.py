@@ -20,7 +20,7 @@ def parts_dir(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", ["stream_pr_events", "stream_reactions", "stream_scorecard", "stream_posting_retry",
-                                  "stream_stale_runs", "stream_posting_offers"])
+                                  "stream_stale_runs", "stream_posting_offers", "stream_scorecards", "stream_upsert_pull_requests"])
 def test_several_files_give_the_rows_of_one(spark, sf_dir, parts_dir, name):
     rows = lambda d: sorted(map(str, QUERIES[name](spark, d).collect()))
     got = rows(parts_dir)
