@@ -152,12 +152,13 @@ def package_of(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]+$", 1)
 
 
-def change_cone(changed: DataFrame, imps: DataFrame, cls: DataFrame) -> DataFrame:
-    """References to changed symbols from files importing their package.
+def symbol_references(symbols: DataFrame, imps: DataFrame, cls: DataFrame) -> DataFrame:
+    """References to each symbol (repository, path, name) from files importing its package,
+    once per symbol, however many PRs changed it.
 
     Pass 1 (package filter): calls are resolved against the importer's own
     imports -- qualified by alias, unqualified through any imported package.
-    Pass 2 (symbol match): resolved (package, name) meets the changed symbols.
+    Pass 2 (symbol match): resolved (package, name) meets the symbols.
     Both are equi joins whose output is the set of real references.
     """
     resolved_q = cls.filter("qualified").join(
@@ -167,9 +168,16 @@ def change_cone(changed: DataFrame, imps: DataFrame, cls: DataFrame) -> DataFram
         imps.withColumnRenamed("importer", "path").drop("alias"), ["repo_full_name", "path"]) \
         .select("repo_full_name", F.col("path").alias("importer"), "line_no", "text", "package", "name")
     resolved = resolved_q.unionByName(resolved_u)
-    ch = changed.select("pull_request_id", "repo_full_name", "path", "name", package_of(F.col("path")).alias("package"))
-    return ch.join(resolved, ["repo_full_name", "package", "name"]).select(
-        "pull_request_id", "path", "name", "importer", "line_no", "text").distinct()
+    wanted = symbols.select("repo_full_name", "path", "name").distinct().withColumn("package", package_of(F.col("path")))
+    return wanted.join(resolved, ["repo_full_name", "package", "name"]).select(
+        "repo_full_name", "path", "name", "importer", "line_no", "text").distinct()
+
+
+def change_cone(changed: DataFrame, imps: DataFrame, cls: DataFrame) -> DataFrame:
+    """C8 per PR: the map of PRs to changed symbols, with each symbol's references."""
+    pr_symbols = changed.select("pull_request_id", "repo_full_name", "path", "name").distinct()
+    return pr_symbols.join(symbol_references(changed, imps, cls), ["repo_full_name", "path", "name"]).select(
+        "pull_request_id", "path", "name", "importer", "line_no", "text")
 
 
 def test_file_map(files: DataFrame) -> DataFrame:

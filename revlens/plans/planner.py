@@ -151,18 +151,20 @@ def build_slices(ix: Index, tasks: DataFrame, cfg: ReviewConfig = DEFAULT) -> Da
     allocation and the three section texts cut to it."""
     sec = X.diff_sections(ix.diffs).groupBy("pull_request_id", "path").agg(
         F.array_join(F.array_sort(F.collect_list("section")), "\n").alias("diff_text"))
-    cone = X.change_cone(ix.changed, ix.imports, ix.calls)
+    # references are kept per symbol; tasks read them through their own (repository, path, symbol)
+    cone = X.symbol_references(ix.changed, ix.imports, ix.calls)
+    of_symbol = ["repo_full_name", "path", "symbol"]
     ref_line = F.concat(F.col("importer"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "),
                         F.trim("text"))
-    refs = cone.select("pull_request_id", "path", F.col("name").alias("symbol"), "importer", "line_no",
+    refs = cone.select("repo_full_name", "path", F.col("name").alias("symbol"), "importer", "line_no",
                        ref_line.alias("ref"))
-    cg_len = refs.groupBy("pull_request_id", "path", "symbol").agg(
+    cg_len = refs.groupBy(*of_symbol).agg(
         (F.sum(F.octet_length("ref") + 1) - 1).alias("cg_bytes"))
     test_text = ix.tests.join(ix.files.select("repo_full_name", F.col("path").alias("test_path"),
                                               F.col("content").alias("test_text")),
                               ["repo_full_name", "test_path"]).select("repo_full_name", "path", "test_text")
     t = (tasks.join(sec, ["pull_request_id", "path"], "left")
-         .join(cg_len, ["pull_request_id", "path", "symbol"], "left")
+         .join(cg_len, of_symbol, "left")
          .join(test_text, ["repo_full_name", "path"], "left"))
     appr = F.coalesce(language_of("path")["approximate"], F.lit(False))
     if cfg.approximate_index == "always":
@@ -177,15 +179,15 @@ def build_slices(ix: Index, tasks: DataFrame, cfg: ReviewConfig = DEFAULT) -> Da
     t = t.withColumn("alloc", allocate(diff_t, cg_t, test_t, F.col("budget.diff_hunk"),
                                        F.col("budget.call_graph"), F.col("budget.tests"), total))
     # call-graph text: running tokens depend only on the symbol's reference
-    # list, not on the task, so lines are packed once per PR and symbol and
+    # list, not on the task, so lines are packed once per symbol and
     # each task keeps the prefix under its own allocation, row-locally. Lines
     # beyond the largest model budget are in no task's prefix.
-    packed = pack_lines(refs, ["pull_request_id", "path", "symbol"], ["importer", "line_no"], "ref",
+    packed = pack_lines(refs, of_symbol, ["importer", "line_no"], "ref",
                         F.lit(None).cast("bigint"), F.col("importer")) \
         .filter(F.col("running_tokens") <= max(MODEL_BUDGETS.values()))
-    ranked = packed.groupBy("pull_request_id", "path", "symbol").agg(
+    ranked = packed.groupBy(*of_symbol).agg(
         F.array_sort(F.collect_list(F.struct("running_tokens", "importer", "line_no", "ref"))).alias("_refs"))
-    t = t.join(ranked, ["pull_request_id", "path", "symbol"], "left")
+    t = t.join(ranked, of_symbol, "left")
     cg_cap = F.col("alloc.call_graph_tokens")
     t = t.withColumn("call_graph_text", F.when(cg_cap > 0, F.array_join(F.transform(
         F.filter("_refs", lambda x: x["running_tokens"] <= cg_cap), lambda x: x["ref"]), "\n")))

@@ -754,6 +754,13 @@ def q_c8(spark, d):
     return change_cone(ix.changed, ix.imports, ix.calls)
 
 
+@entry("symbol_references")
+def q_c8_once(spark, d):
+    from .operators.code_index import symbol_references
+    ix = _index(spark, d)
+    return symbol_references(ix.changed, ix.imports, ix.calls)
+
+
 @entry("test_file_map")
 def q_c10(spark, d):
     return _index(spark, d).tests
