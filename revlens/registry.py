@@ -939,6 +939,16 @@ def q_j7(spark, d):
     return rule_scan(views(spark, d).table("documents"))
 
 
+@entry("rule_table_scan")
+def q_j7_rules(spark, d):
+    """J7 with rules as a table, over every line of every document."""
+    from .operators.rules import scan_lines
+    from .sources import synth
+    docs = views(spark, d).table("documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return scan_lines(lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), "line"), synth.scan_rules(spark, d))
+
+
 @entry("labelled_eval")
 def q_d14(spark, d):
     """Documents flagged by the rule scan against the toxic label;
@@ -952,6 +962,18 @@ def q_d14(spark, d):
     return D.labelled_eval(scored, v.table("labels"), "flagged", "toxic", "tokens")
 
 
+@entry("region_eval")
+def q_d14_regions(spark, d):
+    """D14 per repository: findings matched one to one with labelled regions of the same change and file."""
+    from .operators.evaluation import matched_eval
+    from .sources.views import HEADS_PER_PR, labelled_regions
+    f = views(spark, d).findings
+    f = f.groupBy("id").agg(F.min(F.struct(*[c for c in f.columns if c != "id"])).alias("f")).select("id", "f.*")  # ids repeat
+    found = f.select(F.col("id").alias("finding_id"), F.floor(F.col("pull_request_id") / HEADS_PER_PR).alias("external_pr_id"), "repo_full_name",
+                     "file_path", "category", "start_line", "end_line", F.col("prompt_tokens").cast("bigint").alias("tokens"))
+    return matched_eval(found, labelled_regions(f), ["external_pr_id", "file_path"], "repo_full_name")
+
+
 @entry("collect_findings")
 def q_g1(spark, d):
     from .plans.findings_flow import rule_scan, tool_findings

@@ -200,6 +200,22 @@ def task_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.withColumn("id", F.col("pull_request_id") * 10 + F.col("ln")).join(tasks, "id").select("pull_request_id", "path", "status")
 
 
+def scan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 rules as rows: the fixed scanner rules with their fragments, and for every benchmark item
+    a rule that finds its first three words."""
+    from ..plans.findings_flow import SCAN_RULES
+
+    fragments = {"hardcoded_secret": ["key", "token", "secret", "password"], "email_address": ["@"], "ipv4_address": ["0.0"],
+                 "license_line": ["license", "licence"]}
+    fixed = spark.createDataFrame([(r, c, sev, p, fragments[r]) for r, p, c, sev in SCAN_RULES],
+                                  "rule_id string, category string, severity string, pattern string, fragments array<string>")
+    start = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    items = read_table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("benchmark_"), s(F.col("item_id"))).alias("rule_id"), F.lit("logic").alias("category"), F.lit("low").alias("severity"),
+        F.concat(F.lit("\\Q"), start, F.lit("\\E")).alias("pattern"), F.array(start).alias("fragments"))
+    return fixed.unionByName(items)
+
+
 def file_lines(files: DataFrame) -> DataFrame:
     """Files exploded to (path, line_no, text); row-local, no shuffle."""
     return files.select("repo_full_name", "path", "ext", "is_test",

@@ -184,6 +184,16 @@ def findings_from(li: DataFrame) -> DataFrame:
     )
 
 
+def labelled_regions(f: DataFrame) -> DataFrame:
+    """Labels of regions: for a third of the findings a region somewhat lower in the same file and
+    change, half of them with another category."""
+    k = F.col("prompt_tokens")
+    return f.filter(k % 3 == 0).select(
+        F.concat(F.lit("label-"), "id").alias("label_id"), F.floor(F.col("pull_request_id") / HEADS_PER_PR).alias("external_pr_id"),
+        "repo_full_name", "file_path", F.when(k % 2 == 0, F.col("category")).otherwise("logic").alias("category"),
+        (F.col("start_line") + k % 4).alias("start_line"), (F.col("end_line") + k % 4 + 6).alias("end_line"))
+
+
 def receipts_from(li: DataFrame) -> DataFrame:
     """Receipts of posted comments, 0 to 4 days after posting; some come twice."""
     f = findings_from(li).where("posted_at is not null")
