@@ -813,7 +813,7 @@ def _versions(spark, d):
     versions = synth.source_versions(spark, d)
     heads = views(spark, d).pull_requests.select(F.col("id").alias("pull_request_id"), "external_pr_id", "repo_full_name")
     hunks = X.parse_hunks(synth.diffs(spark, d)).join(heads.drop("repo_full_name"), "pull_request_id")
-    return versions, heads, V.changed_versions(V.version_symbols(versions), hunks)
+    return versions, heads, V.changed_versions(V.stored_symbols(versions), hunks)
 
 
 @entry("read_source_versions")
@@ -832,7 +832,7 @@ def q_h28_versions(spark, d):
     paths = X.changed_files(synth.diffs(spark, d)).join(heads.drop("repo_full_name"), "pull_request_id") \
         .select("external_pr_id", "repo_full_name", "path").distinct()
     newest = heads.groupBy("external_pr_id").agg(F.max("pull_request_id").alias("pull_request_id"))
-    return V.symbols_at(V.version_symbols(synth.source_versions(spark, d)), paths.join(newest, "external_pr_id")).select(
+    return V.symbols_at(V.stored_symbols(synth.source_versions(spark, d)), paths.join(newest, "external_pr_id")).select(
         "pull_request_id", "repo_full_name", "path", "symbol", "kind", "parent", "start_line", "end_line", "param_count", "exported",
         "content_hash")
 
