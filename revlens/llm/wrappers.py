@@ -52,10 +52,12 @@ BROADCAST_BYTES, SALTS = 16 << 20, 16
 
 # Elements and their parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg canvas select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var td th br wbr img".split())
+    "span strike strong sub sup time tt u var td th br wbr img".split()) | frozenset(
+    "object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+    "mmultiscripts mtable mtr mtd semantics annotation".split())
 #: An opening tag of the key ends an open element of the values, up to the nearest of the stops.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -84,9 +86,10 @@ CERTAIN, NAMED, TITLED = 1, 2, 3
 MAIN_TAGS = ("article", "main")
 MAIN_WORDS = frozenset("article post entry story content main body text".split())
 
+#: A quote opens an attribute's value only right after = and white space; elsewhere it is a sign like others.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                   r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+                   r"<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 WORDS = re.compile(r"[A-Za-z]+")
 
 

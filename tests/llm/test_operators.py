@@ -596,3 +596,14 @@ def test_tree_rules_out_no_link():
         found.update(zip(i.tolist(), j.tolist()))
     links = {(i, j) for i in range(80) for j in range(80) if count_rtree.linked(sets[i], sets[j], cfg)}
     assert links <= found and len(found) < 80 * 80 / 4
+
+
+def test_wrappers_attributes_and_formulas(spark):
+    """An apostrophe in an unquoted value opens nothing; formulas are text."""
+    rows = [(1, "http://a.example/1", "<article><p data-x=it's>Hello world one two three.</p><p>It's a second.</p><p>third don't</p></article>"),
+            (2, "http://b.example/1", "<article><p>Formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> ends.</p><p>And <object>its own</object> text.</p></article>"),
+            (3, "http://c.example/1", "<article><p title = 'a > b' class=\"c>d\" x=y\"z>One more.</p><p a='' b>Two.</p></article>")]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Hello world one two three.\n\nIt's a second.\n\nthird don't",
+                   2: "Formula x=2 ends.\n\nAnd its own text.", 3: "One more.\n\nTwo."}
+    assert wrappers.attributes(" a=it's b='x y' c") == {"a": "it's", "b": "x y", "c": ""}
