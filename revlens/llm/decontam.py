@@ -17,8 +17,8 @@ differs. Nothing is left out by it. ``blocks_of`` cuts fingerprints into blocks
 ``radius`` bits share one, to look up near wordings.
 
 The item side is broadcast while it has at most ``BROADCAST_ROWS`` rows; beyond that the joins are
-shuffled. Documents' texts take no part in a shuffle but those in which a shingle was found, or if
-the planner can't broadcast their list.
+shuffled. Documents' texts take no part in a shuffle but those in which a shingle was found, and all of
+them only if more than ``BROADCAST_KEYS`` documents hold a leak.
 
 Defined results: null, empty or wordless texts match nothing, and items without words are ignored; an
 item or document with fewer than ``k`` words has one shingle, all of its words, so a short item is
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from revlens.llm.common import stored
 
 BROADCAST_ROWS = 1_000_000
+#: Keys of documents with a leak that are broadcast: 8 MB of longs, some 32 MB as a hash table.
+BROADCAST_KEYS = 1_000_000
 BITS = 64
 #: Sums of the same weights in other orders differ by less.
 ROUNDING = 1e-9
@@ -164,5 +166,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None)
 def without_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with their own columns."""
     key = f"leak-{uuid.uuid4().hex}"  # clashes with no column of docs
-    leaks = find_leaks(docs, benchmark, s).select(F.col("doc").alias(key)).distinct()
-    return docs.join(leaks, document_key() == F.col(f"`{key}`"), "left_anti")
+    leaks = stored(find_leaks(docs, benchmark, s).select(F.col("doc").alias(key)).distinct(), "leak-keys")
+    few = leaks.count() <= BROADCAST_KEYS  # one long a row, so this bounds its bytes
+    return docs.join(F.broadcast(leaks) if few else leaks, document_key() == F.col(f"`{key}`"), "left_anti")
