@@ -590,7 +590,7 @@ def test_tree_rules_out_no_link():
     cfg = count_rtree.Settings()
     base = [np.unique(rng.integers(0, 1 << 60, 120).astype(np.uint64)) for _ in range(20)]
     sets = base + [np.unique(np.concatenate([b[: len(b) - 4], rng.integers(0, 1 << 60, 4).astype(np.uint64)])) for b in base * 3]
-    points, sizes = np.stack([count_rtree.counts(s) for s in sets]), np.array(list(map(len, sets)))
+    points, sizes = count_rtree.points_of([count_rtree.counts(s) for s in sets]), np.array(list(map(len, sets)))
     found = set()
     for i, j in count_rtree.CountTree(points, sizes).search(points, sizes, cfg):
         found.update(zip(i.tolist(), j.tolist()))
@@ -598,6 +598,36 @@ def test_tree_rules_out_no_link():
     assert links <= found and len(found) < 80 * 80 / 4
 
 
+def test_points_bound_overlaps_at_every_size():
+    """Packed points of any width, folded or not, never bound an overlap below the true one, and fine
+    ones tell sets apart that share little."""
+    rng = np.random.default_rng(18)
+    for n in (1, 15, 16, 100, 1535, 1536, 40_000):
+        a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        for share in (0.0, 0.5, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 1 << 60, max(1, n // 4)).astype(np.uint64)]))
+            both, p = len(np.intersect1d(a, b)), [count_rtree.fine_point(x) for x in (a, b)]
+            assert both <= count_rtree.fine_overlap(*p) <= min(len(a), len(b))
+        other = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        assert n < 100 or count_rtree.fine_overlap(count_rtree.fine_point(a), count_rtree.fine_point(other)) < 0.75 * n
+    same = np.full(70_000, 7, np.uint64) + np.arange(70_000, dtype=np.uint64) * np.uint64(1 << 32)  # one group
+    for x in (same[:15], same[:16], same[:256], same[:70_000]):
+        coarse = count_rtree.points_of([count_rtree.counts(x), count_rtree.counts(same[:3])])
+        assert coarse[0].max() >= len(x) and coarse[1].sum() == 3
+        assert count_rtree.fine_overlap(count_rtree.fine_point(x), count_rtree.fine_point(x)) >= len(x)
+
+
+def test_links_across_point_widths_equal_brute_force(spark):
+    """Groups on both sides of ``MORE_FROM`` shingles: cells hold points of both widths."""
+    cfg, rnd, docs = count_rtree.Settings(), random.Random(19), []
+    for g in range(6):
+        base = words(rnd, count_rtree.MORE_FROM + 40, 50_000)
+        for cut in range(9):
+            docs.append((len(docs), " ".join(base[cut * rnd.choice([1, 12, 60]):])))
+    got = count_rtree.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), cfg)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == jaccard_brute_force(docs, cfg)
+
+
 def test_wrappers_attributes_and_formulas(spark):
     """An apostrophe in an unquoted value opens nothing; formulas are text."""
     rows = [(1, "http://a.example/1", "<article><p data-x=it's>Hello world one two three.</p><p>It's a second.</p><p>third don't</p></article>"),
