@@ -168,12 +168,14 @@ def validate(df: DataFrame, table: str, parents: dict[str, DataFrame]) -> DataFr
     checks += [F.when(~F.col(c).isin(*values), f"bad_{c}") for c, values in ALLOWED.get(table, {}).items()]
     if table == "findings":
         checks.append(F.when(~F.col("confidence_score").between(0, 1), "score_out_of_range"))
+    # what a row tells by itself is settled before the joins, so the columns it takes don't travel
+    df, checks = df.withColumn("_own", F.concat_ws(",", *checks)), [F.nullif(F.col("_own"), F.lit(""))]
     for c, parent in FOREIGN_KEYS.get(table, {}).items():
         known = parents[parent].select(F.col("id").alias(c)).distinct().withColumn(f"_{c}", F.lit(True))
         df = df.join(known, c, "left")
         checks.append(F.when(F.col(c).isNotNull() & F.col(f"_{c}").isNull(), f"missing_{c}"))
     df = df.withColumn("reasons", F.concat_ws(",", *checks)).filter(F.col("reasons") != "")
-    return df.drop(*[f"_{c}" for c in FOREIGN_KEYS.get(table, {})])
+    return df.drop("_own", *[f"_{c}" for c in FOREIGN_KEYS.get(table, {})])
 
 
 def merge_meta(df: DataFrame, updates: dict[str, Column], col: str = "metadata") -> DataFrame:
