@@ -136,3 +136,10 @@ def test_summary_sends_no_task_twice(planned):
     assert "Expand" not in _plan(s).toString()
     body = s.first().body
     assert "1 of 2 symbols checked" in body and "Not checked because of an error: 1**\n* `a.go` F: late" in body
+
+
+def test_region_eval_chooses_rows_once(spark, sf_dir):
+    from revlens.registry import QUERIES
+    df = QUERIES["region_eval"](spark, sf_dir)
+    scans = [n for n in _nodes(_plan(df, "optimizedPlan")) if n.nodeName() == "LogicalRelation"]
+    assert not any("l_orderkey" in n.output().toString() for n in scans)  # the result reads the rows chosen, not the source again
