@@ -76,3 +76,12 @@ def test_findings_take_their_lines_and_symbols_along(spark):
         ("two", "t1", "line 63\nline 64\nline 65", "F"), ("none", "t2", "", ""), ("open", "t3", "", "F"), ("else", "t4", "", ""),
         ("both", "t5", "line 100", "G"), ("both", "t5", "line 100", "G2"),
         *[("0", t, same, x) for t in ("t6", "t7") for x in ("F", "G", "G2")]])
+
+
+def test_answers_of_line_items_without_number_or_supplier(spark, tmp_path):
+    rows = [(4, 2, 3, None, 5.0, 0.05), (4, 2, None, 1, 5.0, 0.05)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double") \
+        .write.parquet(str(tmp_path / "lineitem.parquet"))
+    raw = {r.task_id: r.raw for r in synth.model_answers(spark, str(tmp_path)).collect()}
+    assert '"severity":"info"' in raw[None]  # and no title without a supplier, so no finding
+    assert raw[41] == '{"findings":[]}'
