@@ -67,3 +67,49 @@ def test_rows_without_id_or_time(spark, tmp_path):
 def test_query_has_a_row_per_finding_and_cycle(spark, sf_dir):
     out = QUERIES["stream_posting_offers"](spark, sf_dir)
     assert out.count() == out.select("id", "cycle").distinct().count() > 0
+
+
+def test_findings_of_one_slot(spark, tmp_path, monkeypatch):
+    from revlens.streaming import posting
+    monkeypatch.setattr(posting, "SLOTS", 2)
+    batches = [[(f"f{n}", False, at(1 + n % 5, n % 24)) for n in range(60)],
+               [(f"f{n}", True, at(2 + n % 7, 5)) for n in range(0, 60, 3)],
+               [("late", False, at(8, 3)), ("f1", False, at(9, 1)), ("f2", True, at(9, 2))], [("end", False, at(25, 1))]]
+    got, _ = offered(spark, tmp_path, batches)
+    assert got == replay(batches, at(25, 1))
+
+
+def test_state_is_called_per_slot_not_per_finding():
+    calls, stored = [], []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return stored[-1] if stored else None
+
+        def update(self, value):
+            calls.append("update")
+            stored.append(value)
+
+        def registerTimer(self, t):
+            calls.append(("timer", t))
+
+        def deleteTimer(self, t):
+            calls.append(("delete", t))
+
+    class Watermark:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    from pyspark.sql import Row
+
+    from revlens.streaming.posting import HOUR_MS, PostingRetry
+    p = PostingRetry(24, 7)
+    p.init(Handle())
+    rows = [Row(id=f"f{n}", is_receipt=False, ready=n, at_ms=n) for n in range(1, 1001)]
+    assert list(p.handleInputRows((0,), iter(rows), Watermark())) == []
+    assert calls == ["get", "update", ("timer", 24 * HOUR_MS + 1)]
+    assert len(stored[0][0]) == 1000 and len(stored[0][1]) == 4000
