@@ -85,3 +85,8 @@ def test_answers_of_line_items_without_number_or_supplier(spark, tmp_path):
     raw = {r.task_id: r.raw for r in synth.model_answers(spark, str(tmp_path)).collect()}
     assert '"severity":"info"' in raw[None]  # and no title without a supplier, so no finding
     assert raw[41] == '{"findings":[]}'
+
+
+def test_review_run_plans_its_triage_once(spark, sf_dir):
+    plan = _physical(QUERIES["review_run"](spark, sf_dir))
+    assert "Window" not in plan and "BroadcastHashJoin [finding_id]" not in plan and len(plan) < 20_000
