@@ -5,9 +5,10 @@ hold one for its pattern to be tried (for a secret rule: token, password, ...).
 are compared in lower case with digits as 0, so that ``0.0`` stands for any digits around a dot.
 Each fragment is looked up by one key: three characters of it, or itself if it is a single sign.
 
-A line's keys are found in one pass; only those that some rule has leave the row, meet the rules in
-an equi join, and only lines that hold the whole fragment meet the pattern.  So a line costs its
-length and its few candidates, not the number of rules, and there is no expression per rule.
+A line's keys are found in one pass; only those that some rule has meet the rules in an equi join,
+and only lines that hold the whole fragment meet the pattern.  So a line costs its length and its
+few candidates, not the number of rules, and there is no expression per rule.  Rules that were
+measured to be small go to the lines, which then stay where they are.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import grows
+
 #: Rules are configuration: their distinct keys go to every task as one array, up to this many.
 MOST_KEYS = 200_000
+#: Rules up to so many bytes go to every task; more of them meet the lines in a sorted join.
+MOST_BYTES = 16_000_000
 KEY = 3
 
 
@@ -53,7 +58,12 @@ def scan_lines(lines: DataFrame, rules: DataFrame, text: str = "line") -> DataFr
         raise ValueError(f"more than {MOST_KEYS} keys: scan with parts of the rules")
     known = keys.agg(F.coalesce(F.array_sort(F.collect_set("key")), F.array().cast("array<string>"))).scalar()
     own = [c for c in lines.columns if c != text]
-    candidates = lines.withColumn("_plain", comparable(F.col(text))) \
-        .withColumn("key", F.explode(F.array_intersect(keys_of(F.col("_plain")), known)))
-    hits = candidates.join(index, "key").filter(F.contains("_plain", F.col("fragment")) & F.rlike(F.col(text), F.col("pattern")))
+    plain = comparable(F.col(text))
+    candidates = lines.withColumn("_plain", plain).withColumn("key", F.explode(F.array_intersect(keys_of(F.col("_plain")), known)))
+    size = index.agg(F.sum(F.lit(100) + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("rule_id", "pattern", "fragment")))).first()[0] or 0
+    if size <= MOST_BYTES:
+        met = candidates.join(F.broadcast(index), "key")
+    else:  # a line travels once per key: without its comparable form, which is made again
+        met = candidates.drop("_plain").join(grows(index), "key").withColumn("_plain", plain)
+    hits = met.filter(F.contains("_plain", F.col("fragment")) & F.rlike(F.col(text), F.col("pattern")))
     return hits.select(*own, "rule_id", "category", "severity").distinct()
