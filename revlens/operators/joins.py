@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import packed, unpacked
 from .windows import latest_per_key
 
 
@@ -64,23 +65,28 @@ def skip_unchanged(candidates: DataFrame, tasks: DataFrame, findings: DataFrame,
     already reviewed by a *completed* task of an earlier head of the same PR.
 
     Equi join on (external_pr_id, location_hash, content_hash) plus the
-    head-order condition; failed tasks never suppress a re-review.
+    head-order condition; failed tasks never suppress a re-review.  Both hashes
+    travel packed, in half their bytes.
     """
+    columns = candidates.columns
+    candidates, findings = (d.withColumns({f"_{c}": packed(c) for c in ("location_hash", "content_hash")}) for d in (candidates, findings))
+    candidates = candidates.drop("location_hash", "content_hash")
     heads = prs.select(F.col("id").alias("pull_request_id"), "external_pr_id",
                        F.col("created_at").alias("head_created_at"))
     done = (findings.join(tasks.filter(F.col("status") == "completed")
                           .select(F.col("id").alias("review_task_id")), "review_task_id", "left_semi")
             .filter(F.col("content_hash").isNotNull())
-            .join(heads, "pull_request_id")
-            .select("external_pr_id", "location_hash", "content_hash",
+            .filter(F.col("location_hash").isNotNull()).drop("location_hash", "content_hash").join(heads, "pull_request_id")
+            .select("external_pr_id", "_location_hash", "_content_hash",
                     F.col("head_created_at").alias("prior_head_at"),
                     F.col("pull_request_id").alias("prior_pr")))
     c = candidates.join(heads, "pull_request_id")
-    cond = [c.external_pr_id == done.external_pr_id, c.location_hash == done.location_hash,
-            c.content_hash == done.content_hash,
+    cond = [c.external_pr_id == done.external_pr_id, c._location_hash == done._location_hash,
+            c._content_hash == done._content_hash,
             (done.prior_head_at < c.head_created_at) |
             ((done.prior_head_at == c.head_created_at) & (done.prior_pr < c.pull_request_id))]
-    return c.join(done, cond, "left_anti").drop("external_pr_id", "head_created_at")
+    new = c.join(done, cond, "left_anti").withColumns({c: unpacked(f"_{c}") for c in ("location_hash", "content_hash")})
+    return new.select(*columns)
 
 
 def posting_retry_set(findings: DataFrame, runs: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
