@@ -11,6 +11,8 @@ costs one partial row per task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -301,3 +303,17 @@ def purge(tables: dict[str, DataFrame], pr_ids: DataFrame) -> dict[str, DataFram
 def foreign_key_violations(child: DataFrame, parent: DataFrame, fk: str, pk: str = "id") -> DataFrame:
     """Children whose parent row does not exist (nothing is cascaded)."""
     return child.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+
+
+def one_per_id(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``id`` and ``columns`` of one row per id, the least by all of its columns.
+
+    Whole rows are compared only where an id repeats: those ids are looked for first and stored, so that
+    the planner knows their size, and all other rows bring nothing but the columns wanted."""
+    from ..sources.sinks import written_once
+
+    repeated = written_once(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("_id")), "repeated")
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    once = rows.select("id", *columns).join(repeated, same, "left_anti")
+    least = rows.join(repeated, same, "left_semi").groupBy("id").agg(F.min(F.struct(*[c for c in rows.columns if c != "id"])).alias("r"))
+    return once.unionByName(least.select("id", *[f"r.{c}" for c in columns]))
